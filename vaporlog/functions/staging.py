@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,3 +18,26 @@ def computed_once(df: DataFrame) -> DataFrame:
     the test on it is always true. Unused columns are still pruned.
     """
     return df.withColumn("_once", F.spark_partition_id()).filter("_once >= 0").drop("_once")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def written_once(df: DataFrame) -> DataFrame:
+    """Write an intermediate table that several passes read, and read it back.
+
+    The expensive columns are computed once, the plan of every pass starts at a narrow
+    columnar scan, and a lost executor costs a re-read instead of a re-computation.
+    """
+    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

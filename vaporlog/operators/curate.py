@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vaporlog.functions.matching import contains_any
 from vaporlog.functions.ranking import bin_sizes, hash_rank, rank_in_bins
+from vaporlog.functions.staging import written_once
 from vaporlog.functions.text import procedure_key, sha_long, split_lines, strip
 from vaporlog.operators.categorize import categorize
 from vaporlog.rules import procedures as P
@@ -67,7 +68,8 @@ def sample_by_value(prepared: DataFrame, size: int = T.TOTAL_SAMPLE, key: str =
 
     Quotas that a tier cannot fill go down to the low tier only.
     """
-    tiered = order_hash(value_tiers(prepared), key, seed)
+    # Two passes: sizes first, then ranks.
+    tiered = written_once(order_hash(value_tiers(prepared), key, seed))
     high, medium = int(size * T.HIGH_SHARE), int(size * T.MEDIUM_SHARE)
     # Three tiers of at most 4096 bins: the rest works on a few thousand rows.
     sizes = bin_sizes(tiered, ["tier"], "_hash")
@@ -99,7 +101,8 @@ def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rul
     """
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"unseen ratio must be between 0 and 1, got {ratio}")
-    labeled = order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed)
+    # Two passes: sizes first, then ranks.
+    labeled = written_once(order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed))
     # At most 4096 bins per class; everything up to the last join works on these sizes.
     sizes = bin_sizes(labeled, [label], "_hash")
     every = Window.partitionBy()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vaporlog.functions.matching import contains_any
 from vaporlog.functions.ranking import top_per_group
-from vaporlog.functions.staging import computed_once
+from vaporlog.functions.staging import computed_once, written_once
 from vaporlog.functions.text import sha_fraction
 from vaporlog.operators.project import airway_flags
 from vaporlog.rules import anesthesia as A
@@ -219,6 +219,8 @@ def review_set(assessed: DataFrame, max_cases: int = R.DEFAULT_MAX_CASES, seq: s
 
     The selection has at most ``max_cases`` rows, a fixed parameter, so it is broadcast.
     """
+    # Scored once, read twice: narrow columns for the ranking, then the chosen records.
+    assessed = written_once(assessed)
     chosen = select_cases(candidates(assessed, max_cases, seq), max_cases)
     picked = F.broadcast(
         chosen.select(F.col("seq").alias("_seq"), F.col("bucket").alias("_bucket"), F.col("score").alias("_score"))
