@@ -37,9 +37,26 @@ def rx(text: str, pattern: str) -> str:
             f"len(list_filter(string_split({text}, chr(10)), lambda x: "
             f"regexp_matches(regexp_replace(x, '(?i)^.*\\bLMA\\b', ''), '(?i)\\bmask\\b'))) > 0"
         )
+    if pattern in T.NEGATION:
+        # Letters beyond ASCII are letters too.
+        pattern = "(?:^|[^\\pL\\pN_])" + pattern[2:]
     return f"regexp_matches({text}, {q('(?i)' + pattern)})"
 
 
+def lookahead_context(text: str) -> str:
+    """Context of the first 'mask' that no LMA follows on its line."""
+    parts = f"string_split({text}, chr(10))"
+    cut = "regexp_replace({x}, '(?i)^.*\\bLMA\\b', '')"
+    flags = f"list_transform({parts}, lambda x: regexp_matches({cut.format(x='x')}, '(?i)\\bmask\\b'))"
+    at = f"list_position({flags}, true)"
+    line = f"{parts}[{at}]"
+    above = f"array_to_string({parts}[1:{at} - 1], chr(10)) || CASE WHEN {at} > 1 THEN chr(10) ELSE '' END"
+    head = f"({above} || left({line}, length({line}) - length({cut.format(x=line)})))"
+    rest = f"substr({text}, length({head}) + 1)"
+    before = f"right({head} || regexp_extract({rest}, '(?i)^((?s:.*?))\\bmask\\b', 1), 50)"
+    return strip(f"({before} || regexp_extract({rest}, '(?i)^(?s:.*?)(\\bmask\\b(?s:.{{0,50}}))', 1))")
+
+
 def rx_any(text: str, patterns) -> str:
     return "(" + " OR ".join(rx(text, p) for p in patterns) + ")"
 
@@ -268,8 +285,7 @@ def annotation(source: str, prefix: str) -> str:
     def snippet(text: str, patterns) -> str:
         def around(p: str) -> str:
             if p == LOOKAHEAD:
-                # First 'mask' of the text that no LMA follows on its line: cut into lines, keep those after the last LMA.
-                return "NULL"
+                return lookahead_context(text)
             before = f"regexp_extract({text}, {q('(?i)^((?s:.*?))(?:' + p + ')')}, 1)"
             rest = f"regexp_extract({text}, {q('(?i)^(?s:.*?)((?:' + p + ')(?s:.{0,50}))')}, 1)"
             return strip(f"(right({before}, 50) || {rest})")
@@ -478,7 +494,7 @@ register("j4_roster_match", f"""SELECT name, (SELECT stem FROM available_logs a,
 # --- annotation ---------------------------------------------------------------------
 
 for _name, _columns in {
-    "p1_case_dates": "case_date, date_warning",
+    "p1_case_dates": "strftime(case_date, '%Y-%m-%d') AS case_date, date_warning",
     "p2_age_bands": "age_category, age_warning",
     "p3_asa_status": "is_emergent AS emergent, asa_text AS asa_physical_status, asa_warning",
     "p4_anesthesia_mapping": "mapped AS mapped_anesthesia, anesthesia_warning",
@@ -753,3 +769,42 @@ register("a16_override_summary", """SELECT (SELECT count(*) FILTER (corrected) F
     (SELECT count(*) FROM marked WHERE part = 'unseen' AND overridden) AS unseen_promoted,
     (SELECT count(*) FROM marked WHERE part = 'unseen' AND NOT overridden) AS remaining_eval_rows,
     (SELECT count(*) FROM overrides) AS override_count""", "merged", "marked", "overrides")
+
+# --- contexts, long notes and features ----------------------------------------------
+
+_EACH = "(SELECT seq, unnest(findings) AS f FROM {source})"
+register("p14_finding_contexts", f"""SELECT seq, f.value AS value, f.source_field AS source_field, f.context AS context
+    FROM {_EACH.format(source='parsed')}""", "parsed")
+register("p15_note_corpus_findings", f"""SELECT seq, f.value AS value, f.confidence AS confidence, f.context AS context
+    FROM {_EACH.format(source='parsed_notes')}""", "parsed_notes")
+
+
+def _number(text: str, words) -> str:
+    return f"CAST({has(text, words)} AS INT)::DOUBLE"
+
+
+def feature_columns(version: int) -> str:
+    up, length = "upper(p_text)", "floor(length(p_text) / 100)::DOUBLE AS f_length"
+    if version == 1:
+        named = {n: _number(up, w) for n, w in M.PROCEDURE_FEATURES_V1.items()}
+        named["f_cardiac_bypass"] = f"CAST({has(up, ('BYPASS',))} AND {has(up, ('CARDIAC',))} AS INT)::DOUBLE"
+        named |= {n: _number("category", w) for n, w in M.CATEGORY_FEATURES_V1.items()}
+    else:
+        named = {n: _number(up, w) for n, w in M.PROCEDURE_FEATURES_V2.items()}
+        named["f_transcatheter_valve"] = f"CAST({has(up, ('TRANSCATHETER',))} AND {has(up, ('VALVE', 'VALVULOPLASTY'))} AS INT)::DOUBLE"
+        named |= {n: _number("upper(s_text)", w) for n, w in M.SERVICE_FEATURES_V2.items()}
+        named |= {n: _number("upper(category)", w) for n, w in M.CATEGORY_FEATURES_V2.items()}
+        named["f_rule_delivery"] = f"CAST(category IN ({q(P.CESAREAN)}, {q(P.VAGINAL_DELIVERY)}) AS INT)::DOUBLE"
+    columns = [f"{sql} AS {name}" for name, sql in named.items()]
+    return ", ".join([*columns, length, "CAST(category_warning IS NOT NULL AS INT)::DOUBLE AS f_warnings"])
+
+
+for _version, _service in ((2, clean("service_text")), (1, "''")):
+    _source = f"featured_{_version}"
+    cte(f"{_source}_in", f"""SELECT seq, {clean('procedure')} AS procedure, {clean('procedure')} AS p_text, {_service} AS s_text, {_service} AS services,
+        CAST(NULL AS VARCHAR) AS date, CAST(NULL AS VARCHAR) AS age, CAST(NULL AS VARCHAR) AS emergent,
+        CAST(NULL AS VARCHAR) AS final_anesthesia_type, CAST(NULL AS VARCHAR) AS episode_id, CAST(NULL AS VARCHAR) AS anesthesiologist,
+        CAST(NULL AS VARCHAR) AS nerve_block_type, CAST(NULL AS VARCHAR) AS asa, CAST(NULL AS VARCHAR) AS procedure_notes
+        FROM training_rows""", "training_rows")
+    annotation(f"{_source}_in", _source)
+    register("m3_structured_features" + ("" if _version == 2 else "_v1"), f"SELECT seq, {feature_columns(_version)} FROM {_source}_8", f"{_source}_8")

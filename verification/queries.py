@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaporlog.functions import text as X
-from vaporlog.operators import basics, blocks, categorize, curate, findings, hybrid, joins, project, quality
+from vaporlog.operators import basics, blocks, categorize, curate, features, findings, hybrid, joins, models, project, quality
 from vaporlog.operators import queue as Q
 from vaporlog.operators import review as R
 from vaporlog.operators.annotate import annotate
+from vaporlog.plans import training as plans
 from vaporlog.plans.case_log import parse_pairs
 from vaporlog.rules import schema as S
 from vaporlog.sources import columns, exports
@@ -206,7 +208,8 @@ def j7_predictions_side_by_side(spark, sf):
 
 @query
 def p1_case_dates(spark, sf):
-    return basics.parse_dates(case_table(spark, sf)).select("seq", "case_date", "date_warning")
+    dated = basics.parse_dates(case_table(spark, sf))
+    return dated.select("seq", F.date_format("case_date", "yyyy-MM-dd").alias("case_date"), "date_warning")
 
 
 @query
@@ -646,6 +649,59 @@ def m9_rules_only(spark, sf):
     return hybrid.rules_only(ruled(spark, sf)).select("seq", "procedure_category", "method", "category_confidence")
 
 
+# Small model sizes keep these three queries short; the data is whole.
+QUICK = models.TrainConfig(max_iter=30, trees=10, depth=8)
+
+
+def seen_and_unseen(spark, sf):
+    rows = prepared(spark, sf).select("seq", "procedure", "service_text", "rule_category")
+    split = curate.split_seen_unseen(rows)
+    return split.filter("part = 'seen'").drop("part"), split.filter("part = 'unseen'").drop("part")
+
+
+@query
+def m1_m4_text_vectors(spark, sf):
+    inputs = features.feature_inputs(view(spark, sf, "training_rows").select("seq", "procedure", "service_text"))
+    inputs = features.with_text(features.structured_features(inputs))
+    vectors = features.fit_features(inputs).transform(inputs)
+    # Vectors as arrays of their values.
+    return vectors.select(
+        "seq", *[F.to_json(F.array_compact(F.transform(vector_to_array(name), nonzero))).alias(name) for name in ("word_vector", "char_vector")]
+    )
+
+
+def nonzero(value):
+    return F.when(value != 0, F.round(value, 6))
+
+
+@query
+def m3_structured_features(spark, sf):
+    inputs = features.feature_inputs(view(spark, sf, "training_rows").select("seq", "procedure", "service_text"))
+    return features.structured_features(inputs).select("seq", *features.structured_names())
+
+
+@query
+def m3_structured_features_v1(spark, sf):
+    rows = view(spark, sf, "training_rows").select("seq", "procedure", F.lit("").alias("service_text"))
+    return features.structured_features(features.feature_inputs(rows), 1).select("seq", *features.structured_names(1))
+
+
+@query
+def m5_m8_scored_rows(spark, sf):
+    seen, unseen = seen_and_unseen(spark, sf)
+    model = models.train(seen, unseen, "rule_category", QUICK)
+    return models.top_predictions(model.score(unseen), model.labels).select(
+        "seq", "ml_category", "ml_confidence", F.to_json("top_predictions").alias("top_predictions")
+    )
+
+
+@query
+def m11_evaluation(spark, sf):
+    seen, unseen = seen_and_unseen(spark, sf)
+    model = models.train(seen, unseen, "rule_category", QUICK)
+    return plans.evaluate(model, unseen, label="rule_category").accuracy
+
+
 @query
 def block_routing_of_cases(spark, sf):
     return blocks.route_standalone(parsed(spark, sf)).select("seq", "route")
