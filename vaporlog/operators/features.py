@@ -27,7 +27,7 @@ from vaporlog.rules import training as T
 
 
 def feature_inputs(rows: DataFrame) -> DataFrame:
-    """Add cleaned ``procedure_text`` and ``service_text``, ``rule_category`` and ``rule_warning_count``.
+    """Add cleaned ``procedure_text`` and ``service_text`` and the rule result of each row.
 
     Reads ``procedure`` and ``service_text``.
     """
@@ -35,8 +35,9 @@ def feature_inputs(rows: DataFrame) -> DataFrame:
         "procedure_text": clean_text(F.col("procedure")),
         "service_text": clean_text(F.col("service_text")),
     })
-    ruled = categorize(cleaned.drop("rule_category").withColumn("services", split_lines(F.col("service_text"))))
-    return ruled.withColumn("rule_warning_count", F.size("rule_warnings")).drop("services", "rule_warnings")
+    known = cleaned.drop("rule_category", "rule_warnings").withColumn("services", split_lines(F.col("service_text")))
+    ruled = categorize(known)
+    return ruled.withColumn("rule_warning_count", F.size("rule_warnings")).drop("services")
 
 
 def _flag(text: str, words) -> str:

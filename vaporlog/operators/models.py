@@ -80,7 +80,7 @@ class ProcedureModel:
 
 
 def _new(rows: DataFrame, inputs: DataFrame) -> list[str]:
-    added = ("rule_category", "rule_warning_count")
+    added = ("rule_category", "rule_warnings", "rule_warning_count")
     return [name for name in added if name in inputs.columns and name not in rows.columns]
 
 

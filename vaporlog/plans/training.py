@@ -8,10 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import written_once
-from vaporlog.functions.text import split_lines
 from vaporlog.operators import curate, hybrid, models
 from vaporlog.operators import queue as review_queue
-from vaporlog.operators.categorize import categorize
 from vaporlog.rules import training as T
 from vaporlog.sources.sinks import save_table
 
@@ -26,9 +24,11 @@ class Evaluation:
 
 
 def hybrid_scores(model: models.ProcedureModel, rows: DataFrame, threshold: float = T.ML_THRESHOLD) -> DataFrame:
-    """Rule, model and hybrid category of each row in one table."""
-    ruled = categorize(rows.drop("rule_category").withColumn("services", split_lines(F.col("service_text"))))
-    return hybrid.fuse(model.score(ruled.drop("services")), threshold)
+    """Rule, model and hybrid category of each row in one table.
+
+    Scoring computes the rule result as a feature; the decision uses the same columns.
+    """
+    return hybrid.fuse(model.score(rows.drop("rule_category", "rule_warnings")), threshold)
 
 
 def evaluate(model: models.ProcedureModel, rows: DataFrame, label: str | None = None, key: str = "seq",
