@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from pyspark.sql import SparkSession
@@ -44,6 +45,7 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -53,6 +55,7 @@ def main() -> None:
             started = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             seconds[name] = round(time.perf_counter() - started, 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()
     print(json.dumps({
         "metric": "headline_queries_total",
