@@ -101,9 +101,10 @@ def airway_findings(df: DataFrame, column: str = "procedure_notes") -> DataFrame
         _family(text, T.MASK_NAME, T.MASK, confidence(None, "_neg")),
         _family(text, T.DIFFICULT_AIRWAY_NAME, T.DIFFICULT_AIRWAY, confidence()),
     )
-    return flagged.withColumn(
-        "airway_findings", F.expr(f"array_compact(array({', '.join(found)}))")
-    ).drop("_tube", "_dlt", "_nasal", "_neg")
+    found_column = F.expr(f"array_compact(array({', '.join(found)}))")
+    return computed_once(
+        flagged.withColumn("airway_findings", found_column).drop("_tube", "_dlt", "_nasal", "_neg")
+    )
 
 
 def vascular_findings(df: DataFrame, column: str = "procedure_notes") -> DataFrame:
@@ -124,9 +125,8 @@ def vascular_findings(df: DataFrame, column: str = "procedure_notes") -> DataFra
         ),
         _family(text, T.PA_NAME, T.PA_CATHETER, confidence("_central")),
     )
-    return flagged.withColumn(
-        "vascular_findings", F.expr(f"array_compact(array({', '.join(found)}))")
-    ).drop("_central", "_neg")
+    found_column = F.expr(f"array_compact(array({', '.join(found)}))")
+    return computed_once(flagged.withColumn("vascular_findings", found_column).drop("_central", "_neg"))
 
 
 def monitoring_findings(
@@ -141,7 +141,7 @@ def monitoring_findings(
         T.INVASIVE_NEURO_NAME: T.INVASIVE_NEURO,
     }
     found = [_family(text, name, patterns, confidence()) for name, patterns in families.items()]
-    return df.withColumn(into, F.expr(f"array_compact(array({', '.join(found)}))"))
+    return computed_once(df.withColumn(into, F.expr(f"array_compact(array({', '.join(found)}))")))
 
 
 def all_findings(df: DataFrame) -> DataFrame:
