@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from pathlib import Path
@@ -10,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of a table of a few numbers, or digests, that may be broadcast: some ten megabytes.
+BROADCAST_ROWS = 300_000
 #: White space of the contracts: space and U+0009 to U+000D.
 SPACES = " \t\n\u000b\f\r"
 
@@ -40,13 +43,23 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def staged(frame: DataFrame, name: str) -> DataFrame:
-    """The frame, computed once and kept as Parquet in the shared folder: later steps restart from there."""
+    """The frame, computed once and kept as Parquet in the shared folder: later steps restart from there.
+
+    The shuffle files that it took are of no use any more; collecting the driver's garbage lets executors delete them.
+    """
     spark = frame.sparkSession
     path = new_path(spark, name)
     frame.write.parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def sized(frame: DataFrame) -> DataFrame:
+    """A staged table of a few narrow columns, marked for broadcast if it is counted to be small; else it is shuffled."""
+    return F.broadcast(frame) if frame.count() <= BROADCAST_ROWS else frame
+
+
 def with_library(spark: SparkSession) -> None:
     """Let Python workers import this library from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import staged, text_of
+from vaporlog.llm.common import sized, staged, text_of
 
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 #: A document fails a rule where its condition holds.
@@ -103,11 +103,12 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
     """The documents that are kept, with all their columns."""
-    verdicts = judge(docs, id_column, text_column, host_column).filter("kept").select(
-        F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash")
+    rejected = judge(docs, id_column, text_column, host_column).filter("NOT kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
     )
-    match = docs[id_column].eqNullSafe(F.col("_kept_id")) & (F.xxhash64(text_of(docs, text_column)) == F.col("_kept_hash"))
-    return docs.join(verdicts, match, "left_semi")
+    rejected = staged(rejected.distinct(), "rejected")
+    match = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(docs, text_column)) == F.col("_hash"))
+    return docs.join(sized(rejected), match, "left_anti")
 
 
 _W = "[^\\x20\\x09-\\x0D]+"

@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import staged, text_of, with_library
+from vaporlog.llm.common import sized, staged, text_of, with_library
 from vaporlog.llm.tokens import texts_of
 
 #: Labelled rows that each of the three steps learns from, at the most.
@@ -257,4 +257,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", te
     scored = score(docs, labels, id_column, text_column, label_column).filter("predicted = 1")
     toxic = staged(scored.select(F.col("doc_id").alias("_toxic_id"), F.col("text_hash").alias("_toxic_hash")), "toxic")
     match = docs[id_column].eqNullSafe(F.col("_toxic_id")) & (F.xxhash64(text_of(docs, text_column)) == F.col("_toxic_hash"))
-    return docs.join(toxic, match, "left_anti")
+    return docs.join(sized(toxic), match, "left_anti")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import new_path, text_of, with_library
+from vaporlog.llm.common import new_path, sized, staged, text_of, with_library
 
 #: Equal payloads below this many bytes are written again.
 LEAST = 100
@@ -35,7 +35,8 @@ def resolve(pages: DataFrame, id_column: str, url_column: str, payload_column: s
     ).withColumns({"digest": F.sha2("payload", 256), "bytes": F.octet_length("payload").cast("long")})
     headers = rows.filter(F.col("bytes") >= least).groupBy("digest")
     originals = headers.agg(F.min("page_id").alias("original"), F.count(F.lit(1)).alias("records")).filter("records > 1")
-    found = rows.join(originals.select(F.col("digest").alias("d"), "original"), F.col("digest") == F.col("d"), "left")
+    originals = sized(staged(originals.select(F.col("digest").alias("d"), "original"), "originals"))
+    found = rows.join(originals, F.col("digest") == F.col("d"), "left")
     return found.withColumn(
         "refers_to", F.expr("CASE WHEN page_id = original THEN NULL ELSE CAST(original AS STRING) END")
     )
