@@ -199,7 +199,7 @@ def learn_terms(rows: DataFrame) -> dict[str, float]:
     )
     p, q, all_ = F.col("a") / toxic, F.col("b") / clean, (F.col("a") + F.col("b")) / (toxic + clean)
     scored = counts.filter("a >= 3").withColumns({
-        "z": (p - q) / F.sqrt(all_ * (1 - all_) * (1 / toxic + 1 / clean)),
+        "z": (p - q) / F.sqrt(F.greatest(all_ * (1 - all_), F.lit(1e-9)) * (1 / toxic + 1 / clean)),
         "weight": F.log(((F.col("a") + 0.5) / (toxic + 1)) / ((F.col("b") + 0.5) / (clean + 1))),
     })
     best = scored.filter((F.col("z") >= Z) & (F.col("weight") >= math.log(RATIO)))
