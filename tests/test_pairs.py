@@ -139,3 +139,11 @@ def test_stream(spark, tmp_path):
     assert sorted((r["Case ID"], r["Case Date"]) for r in log.collect()) == [
         ("1", "01/01/2025"), ("2", "01/01/2025"), ("3", "01/03/2025")
     ]
+
+
+def test_quoted_cells_keep_line_breaks_and_quotes(spark, tmp_path):
+    from vaporlog.sources.exports import read_csv
+
+    (tmp_path / "a.csv").write_text('id,services,note\n1,"TRAUMA\nENT","said ""ETT 7"", ok"\n2,ENT,plain\n')
+    rows = {r["id"]: (r["services"], r["note"]) for r in read_csv(spark, str(tmp_path)).collect()}
+    assert rows == {"1": ("TRAUMA\nENT", 'said "ETT 7", ok'), "2": ("ENT", "plain")}

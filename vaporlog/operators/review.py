@@ -217,14 +217,12 @@ def select_cases(best: DataFrame, max_cases: int = R.DEFAULT_MAX_CASES) -> DataF
 def review_set(assessed: DataFrame, max_cases: int = R.DEFAULT_MAX_CASES, seq: str = "seq") -> DataFrame:
     """The selected review records with bucket and score.
 
-    The selection has at most ``max_cases`` rows, a fixed parameter, so it is broadcast.
+    The selection is joined back by its measured size.
     """
     # Scored once, read twice: narrow columns for the ranking, then the chosen records.
     assessed = written_once(assessed)
     chosen = select_cases(candidates(assessed, max_cases, seq), max_cases)
-    picked = F.broadcast(
-        chosen.select(F.col("seq").alias("_seq"), F.col("bucket").alias("_bucket"), F.col("score").alias("_score"))
-    )
+    picked = chosen.select(F.col("seq").alias("_seq"), F.col("bucket").alias("_bucket"), F.col("score").alias("_score"))
     joined = records(assessed, keep=[seq]).join(picked, F.col(seq) == F.col("_seq"))
     return joined.withColumns({
         "priority_bucket": F.col("_bucket"),

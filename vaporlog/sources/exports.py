@@ -11,7 +11,6 @@ from vaporlog.sources.columns import csv_nulls
 
 CASE_SUFFIX = r"(\.Supervised)?\.CaseList\.csv$"
 PROCEDURE_SUFFIX = r"(\.Supervised)?\.ProcedureList\.csv$"
-MAX_LAYOUTS = 64
 
 
 @dataclass
@@ -33,15 +32,17 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_csv(spark: SparkSession, path: str, mixed_layouts: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, mixed_layouts: bool = False, multi_line: bool = True) -> DataFrame:
     """Read CSV files as text columns, with ``_file`` (name) and ``_seq`` (row order).
 
     By default all files must share one header: a file that differs fails the scan rather
     than being read by position. With ``mixed_layouts`` the headers are collected first
-    and files are read once per layout, then united by name.
+    and files are read once per layout, then united by name. Quoted cells may hold line breaks and
+    doubled quotes; where no cell holds a line break, ``multi_line=False`` lets Spark split large files.
     """
     def scan(paths) -> DataFrame:
-        reader = spark.read.option("header", True).option("enforceSchema", False).option("multiLine", False)
+        reader = spark.read.option("header", True).option("enforceSchema", False)
+        reader = reader.option("multiLine", multi_line).option("quote", '"').option("escape", '"')
         return reader.csv(paths).select(
             "*",
             F.col("_metadata.file_name").alias("_file"),
@@ -76,8 +77,6 @@ def _layouts(spark: SparkSession, path: str) -> dict[str, list[str]]:
         layouts.setdefault(row["header"], []).append(row["file"])
     if not layouts:
         raise ValueError(f"No CSV files found in {path}")
-    if len(layouts) > MAX_LAYOUTS:
-        raise ValueError(f"{len(layouts)} different headers in {path}; at most {MAX_LAYOUTS} are supported")
     return layouts
 
 

@@ -17,7 +17,9 @@ from vaporlog.sources.columns import csv_nulls
 def stream_case_logs(spark: SparkSession, schema: StructType, source: str, output: str, checkpoint: str,
                      overrides: dict[str, str] | None = None) -> StreamingQuery:
     """Annotate each new CSV case table of a folder once and append to a Parquet case log."""
-    table = csv_nulls(spark.readStream.schema(schema).option("header", True).csv(source))
+    reader = spark.readStream.schema(schema).option("header", True)
+    reader = reader.option("multiLine", True).option("quote", '"').option("escape", '"')
+    table = csv_nulls(reader.csv(source))
     log = case_log_from_table(table, overrides)
     writer = log.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()
