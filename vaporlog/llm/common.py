@@ -49,7 +49,7 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     """
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark._jvm.System.gc()
     return spark.read.schema(frame.schema).parquet(path)
