@@ -2,7 +2,7 @@
 
 Every document is a set of word shingles. Similar documents are put into groups of bounded size (by the first token
 of a global order, a min-hash). The matrix holds, by token, the groups whose prefixes contain it; two groups meet
-only where a prefix token of one is an index token of the other. Where groups meet, the union of a group's tokens bounds
+only where a prefix token of one is an index token of the other, and enough prefix tokens are common. Where groups meet, the union of a group's tokens bounds
 what any member can share with a query document, and only groups that qualify are opened and compared exactly.
 
 Groups first meet the first group of each token they share. What is linked then needs no other comparison: in the
@@ -20,10 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import staged, text_of, with_library
+from vaporlog.llm.common import sized, staged, text_of, with_library
 from vaporlog.llm.components import components
 from vaporlog.llm.sets import distinct, overlap, shingle_set
 
+#: Groups meet in the first step if their common tokens are this share of a set. Results do not depend on it.
+PASSAGE = 0.04
+#: Sizes within a group differ by a tenth at the most (a logarithm).
+SIZES = 0.0953
 #: Members of a group, about.
 GROUP = 32
 #: Documents looked at for frequent tokens, about. They only come last in the order of tokens; results do not depend on it.
@@ -47,6 +51,16 @@ def frequent_tokens(texts: DataFrame, length: int, look: int = LOOK) -> np.ndarr
     return np.sort(np.array([row["token"] for row in found], "int64").view("uint64"))
 
 
+def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+    """Tokens of a set as numbers whose size is the global order: the frequent ones last, else by hash."""
+    late = np.zeros(len(tokens), "uint64")
+    if len(frequent):
+        at = np.searchsorted(frequent, tokens)
+        at[at == len(frequent)] = 0
+        late = (frequent[at] == tokens).astype("uint64")
+    return np.sort(tokens >> np.uint64(1) | late << np.uint64(63))
+
+
 def prefix_sizes(n: int, num: int, den: int) -> tuple[int, int]:
     """Tokens of a set of n that a partner of similarity num/den must meet, as the larger and as the smaller of the two."""
     return n + (-num * n // den) + 1, n + (-2 * num * n // (num + den)) + 1
@@ -69,11 +83,7 @@ def shingled(texts: DataFrame, length: int, num: int, den: int, frequent: np.nda
                     indexed.append(0)
                     continue
                 fp.append(xxhash.xxh3_128_digest(tokens.tobytes()))
-                if len(hot):
-                    at = np.searchsorted(hot, tokens)
-                    at[at == len(hot)] = 0
-                    late = hot[at] == tokens
-                    tokens = np.concatenate([tokens[~late], tokens[late]])
+                tokens = ordered(tokens, hot)
                 larger, smaller = prefix_sizes(len(tokens), num, den)
                 prefix.append(tokens[:larger].view("int64"))
                 indexed.append(smaller)
@@ -130,42 +140,93 @@ def _links_of(queries: list, members: list, num: int, den: int) -> list[tuple]:
     return links
 
 
-def open_groups(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of pairs of groups (g, h; h null: only within g). `members` has node, g, root and tokens.
+def _qualifies(queries: list, members: list, num: int, den: int) -> bool:
+    """Whether two groups, or queries among themselves, may hold a link between nodes not joined yet.
 
-    A task holds the members of two groups at a time.
+    An entry is (node, root, n, prefix). Up to the smaller of two prefixes' last tokens both sets are known; beyond, they
+    can share no more than what is left of either. First the union of a group's prefixes bounds what any member shares with a query.
     """
-    kind = members.schema["node"].dataType.simpleString()
-    named = pairs.select(F.xxhash64("g", "h").alias("pair"), "g", "h")
-    asked = named.select("pair", "g", F.lit(0).alias("side")).unionByName(
-        named.filter("h IS NOT NULL").select("pair", F.col("h").alias("g"), F.lit(1).alias("side"))
+    end = np.uint64(2**64 - 1)
+
+    def last(entry) -> np.uint64:
+        return entry[3][-1] if len(entry[3]) < entry[2] else end
+
+    for others in (members, queries):
+        if not others:
+            continue
+        union = distinct(np.concatenate([entry[3] for entry in others]))
+        cut = min(map(last, others))
+        for i, query in enumerate(queries):
+            _, root, n, prefix = query
+            known = int(np.searchsorted(prefix, min(cut, last(query)), "right"))
+            if den * (overlap(prefix[:known], union) + n - known) < num * n:
+                continue
+            for other in others[i + 1:] if others is queries else others:
+                m = other[2]
+                if other[1] == root or num * max(n, m) > den * min(n, m):
+                    continue
+                both = min(last(query), last(other))
+                k, j = int(np.searchsorted(prefix, both, "right")), int(np.searchsorted(other[3], both, "right"))
+                most = overlap(prefix[:k], other[3][:j]) + min(n - k, m - j)
+                if (num + den) * most >= num * (n + m):
+                    return True
+    return False
+
+
+def _pairwise(pairs: DataFrame, members: DataFrame, values: list[str]) -> DataFrame:
+    """Rows of the members of each pair of groups (g, h; h null: g alone), pair by pair: pair, g, h, side and the values."""
+    named = pairs.select(F.xxhash64("g", "h").alias("pair"), F.col("g").alias("p"), F.col("h").alias("q"))
+    asked = named.select("*", F.col("p").alias("g"), F.lit(0).alias("side")).unionByName(
+        named.filter("q IS NOT NULL").select("*", F.col("q").alias("g"), F.lit(1).alias("side"))
     )
-    rows = asked.join(members, "g").select("pair", "side", "node", "root", "tokens")
-    parts = rows.repartition("pair").sortWithinPartitions("pair")
+    rows = asked.join(members, "g").select("pair", "p", "q", "side", *values)
+    return rows.repartition("p", "q").sortWithinPartitions("pair", "p", "q")
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(p, q, queries, members, batch's schema) of each pair; an entry has all values, the last as an array. Two groups are held at a time."""
+    now, sides, schema = None, ([], []), None
+    for batch in batches:
+        schema = batch.schema
+        columns = [column.to_pylist() for column in batch.columns[1:-1]]
+        arrays = batch.column(batch.num_columns - 1)
+        for i, (p, q, side, *values) in enumerate(zip(*columns, strict=True)):
+            if (p, q) != now:
+                if sides[0]:
+                    yield *now, *sides, schema
+                now, sides = (p, q), ([], [])
+            sides[side].append((*values, arrays[i].values.to_numpy().view("uint64")))
+    if sides[0]:
+        yield *now, *sides, schema
+
+
+def qualified(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """Those pairs of groups (g, h) that must be opened, by their prefixes. `nodes` has node, g, root, n and prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, sides = None, ([], [])
+        g, h = [], []
+        for p, q, queries, members, _ in _grouped(batches):
+            if _qualifies(queries, members, num, den):
+                g.append(p)
+                h.append(q)
+        yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(h, pa.int64())], names=["g", "h"])
 
-        def done() -> pa.RecordBatch:
-            links = _links_of(*sides, num, den)
-            a, b = zip(*links, strict=True) if links else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
+    return _pairwise(pairs, nodes, ["node", "root", "n", "prefix"]).mapInArrow(run, "g long, h long")
 
-        type_ = None
-        for batch in batches:
-            type_ = batch.schema.field("node").type
-            pair, side = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            node, root, tokens = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4)
-            for i, key in enumerate(pair):
-                if key != now:
-                    if sides[0]:
-                        yield done()
-                    now, sides = key, ([], [])
-                sides[side[i]].append((node[i], root[i], tokens[i].values.to_numpy().view("uint64")))
-        if sides[0]:
-            yield done()
 
-    return parts.mapInArrow(run, f"a {kind}, b {kind}")
+def open_groups(pairs: DataFrame, members: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) of pairs of groups (g, h; h null: within g), compared by whole sets. `members` has node, g, root and tokens."""
+    kind = members.schema["node"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, queries, members, schema in _grouped(batches):
+            links = _links_of(queries, members, num, den)
+            if links:
+                a, b = zip(*links, strict=True)
+                type_ = schema.field("node").type
+                yield pa.RecordBatch.from_arrays([pa.array(a, type_), pa.array(b, type_)], names=["a", "b"])
+
+    return _pairwise(pairs, members, ["node", "root", "tokens"]).mapInArrow(run, f"a {kind}, b {kind}")
 
 
 def similar_components(
@@ -190,7 +251,7 @@ def similar_components(
     alike = alike.withColumn("first", F.col("prefix")[0])
     crowded = alike.groupBy("first").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > GROUP)
     alike = alike.join(crowded, "first", "left").withColumn(
-        "g", F.xxhash64("first", F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / GROUP))))
+        "g", F.xxhash64("first", F.floor(F.log("n") / SIZES), F.when(F.col("c").isNotNull(), F.pmod(F.xxhash64("fp"), F.ceil(F.col("c") / GROUP))))
     )
     nodes = staged(alike.select("fp", "node", "n", "g", "prefix", "indexed"), "nodes")
     matrix = nodes.select("g", "indexed", F.posexplode("prefix").alias("at", "token")).select(
@@ -198,10 +259,13 @@ def similar_components(
     )
     leads = matrix.groupBy("token").agg(
         F.min("g").alias("low"), F.max("g").alias("high"), F.min(F.when(F.col("index"), F.col("g"))).alias("lead")
-    ).filter("low <> high AND lead IS NOT NULL").select("token", "lead")
+    ).filter("low <> high").select("token", "lead")
     met = staged(matrix.join(leads, "token").groupBy("token", "g", "lead").agg(F.max("index").alias("index")), "matrix")
 
-    stars = met.filter("g <> lead").groupBy("g").agg(F.min("lead").alias("h"))
+    # the lead that a group has most in common with, if that is no mere passage; what this leaves out meets in the second step
+    sizes = nodes.groupBy("g").agg(F.min("n").alias("n"))
+    stars = met.filter("g <> lead").groupBy("g", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max(F.struct("c", "lead")).alias("best"))
+    stars = stars.join(sizes, "g").filter(F.col("best.c") >= PASSAGE * F.col("n")).select("g", F.col("best.lead").alias("h"))
     several = nodes.groupBy("g").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("g")
     inner = several.join(stars, "g", "left_anti").withColumn("h", F.lit(None).cast("long"))
     first = staged(stars.unionByName(inner), "pairs")
@@ -209,60 +273,69 @@ def similar_components(
     versions = versions.join(nodes.select("fp", "node"), "fp").select("doc_id", "node")
     same_id = versions.join(versions.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").select(F.col("node").alias("a"), "b")
 
-    wanted = first.select("g").unionByName(first.filter("h IS NOT NULL").select(F.col("h").alias("g")))
-    wanted = wanted.unionByName(met.select("g")).distinct()
-    asked = nodes.join(wanted, "g", "left_semi").select("node", "fp", "g")
-    members = staged(_token_sets(texts, asked, length), "members")
-    links = open_groups(first, members.withColumn("root", F.col("node")), num, den)
+    links = _open_round(first, nodes.withColumn("root", F.col("node")), texts, length, num, den)
     links = staged(links.unionByName(same_id.filter("a <> b")), "found")
     roots = staged(components(links), "roots")
 
-    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = rooted.groupBy("g").agg(F.min("root").alias("r"), F.max("root").alias("q"))
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spans = rooted.groupBy("g").agg(
+        F.min("root").alias("r"), F.max("root").alias("q"), F.min("n").alias("least"), F.max("n").alias("most")
+    )
     # a group of one component takes part under it, another one under itself
     kinds = spans.withColumn("part", F.when(F.col("r") == F.col("q"), F.xxhash64("r")).otherwise(F.xxhash64("g", F.lit("mixed"))))
-    placed = met.select("token", "g", "index").join(kinds.select("g", "part"), "g")
-    parts = placed.groupBy("token", "part").agg(F.max("index").alias("index"))
+    placed = met.select("token", "g", "index").join(kinds.select("g", "part", "least", "most"), "g")
+    parts = placed.select("token", "part").distinct()
     split = parts.groupBy("token").agg(F.min("part").alias("x"), F.max("part").alias("y")).filter("x <> y").select("token")
     parts = staged(parts.join(split, "token", "left_semi"), "parts")
     placed = placed.join(split, "token", "left_semi")
-    across = parts.alias("a").join(parts.alias("b"), F.expr("a.token = b.token AND a.part < b.part AND (a.index OR b.index)")).select(
+    across = parts.alias("a").join(parts.alias("b"), F.expr("a.token = b.token AND a.part < b.part")).select(
         F.col("a.token").alias("token"), F.col("a.part").alias("p"), F.col("b.part").alias("q")
     )
-    one = placed.select("token", F.col("part").alias("p"), F.col("g").alias("g1"), F.col("index").alias("i1"))
-    two = placed.select("token", F.col("part").alias("q"), F.col("g").alias("g2"), F.col("index").alias("i2"))
-    second = (
-        across.join(one, ["token", "p"]).join(two, ["token", "q"]).filter("i1 OR i2")
-        .select(F.greatest("g1", "g2").alias("g"), F.least("g1", "g2").alias("h")).distinct()
-    )
+    one = placed.select("token", F.col("part").alias("p"), *[F.col(c).alias(f"{c}1") for c in ("g", "index", "least", "most")])
+    two = placed.select("token", F.col("part").alias("q"), *[F.col(c).alias(f"{c}2") for c in ("g", "index", "least", "most")])
+    # sizes must be near enough; a pair shares at most its common prefix tokens and what the larger set has beyond its prefix
+    fits = F.expr(f"o.token = t.token AND o.q = t.q AND {num} * least1 <= {den} * most2 AND {num} * least2 <= {den} * most1")
+    shared = across.join(one, ["token", "p"]).alias("o").join(two.alias("t"), fits).groupBy(
+        F.greatest("g1", "g2").alias("g"), F.least("g1", "g2").alias("h"), (F.col("least1") + F.col("least2")).alias("least"),
+        F.greatest("most1", "most2").alias("most"),
+    ).agg(F.count(F.lit(1)).alias("c"), F.max(F.expr("index1 OR index2")).alias("index"))
+    second = shared.filter(f"index AND ({num} + {den}) * (c + ceil({num} * most / {den}) - 1) >= {num} * least").select("g", "h")
     tried = first.filter("h IS NOT NULL").select(F.greatest("g", "h").alias("g"), F.least("g", "h").alias("h"))
     second = staged(second.join(tried, ["g", "h"], "left_anti"), "pairs")
-    more = open_groups(second, rooted.select("node", "g", "root", "tokens"), num, den)
+    more = _open_round(second, rooted, texts, length, num, den)
     roots = components(links.unionByName(more))
 
     by_set = nodes.select("fp", "node").join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
     return _with_component(sets, by_set)
 
 
+def _open_round(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, length: int, num: int, den: int) -> DataFrame:
+    """Links of pairs of groups: only groups that qualify are opened, and only their documents are read again."""
+    chosen = staged(qualified(pairs, nodes.select("node", "g", "root", "n", "prefix"), num, den), "qualified")
+    groups = chosen.select("g").unionByName(chosen.filter("h IS NOT NULL").select(F.col("h").alias("g"))).distinct()
+    asked = staged(nodes.join(groups, "g", "left_semi").select("node", "root", "fp", "g"), "asked")
+    return open_groups(chosen, staged(_token_sets(texts, asked, length), "members"), num, den)
+
+
 def _token_sets(texts: DataFrame, asked: DataFrame, length: int) -> DataFrame:
-    """Whole sets of the nodes asked for, from their texts: node, g, tokens."""
+    """Whole sets of the nodes asked for, from their texts: node, root, g, tokens."""
     kind = asked.schema["node"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, tokens = [], []
-            for i, (text, fp) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            for i, (text, fp) in enumerate(zip(batch.column(3), batch.column(4), strict=True)):
                 found = shingle_set(text.as_py(), length)
                 if xxhash.xxh3_128_digest(found.tobytes()) == fp.as_py():  # an id may stand for several texts
                     keep.append(i)
                     tokens.append(found.view("int64"))
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array(tokens, pa.list_(pa.int64()))], names=["node", "g", "tokens"]
+                [*[batch.column(c).take(at) for c in range(3)], pa.array(tokens, pa.list_(pa.int64()))], names=["node", "root", "g", "tokens"]
             )
 
-    rows = texts.join(asked, texts["doc_id"] == asked["node"]).select("node", "g", F.col("text").cast("binary").alias("text"), "fp")
-    return rows.mapInArrow(run, f"node {kind}, g long, tokens array<long>")
+    rows = texts.join(sized(asked), texts["doc_id"] == asked["node"]).select("node", "root", "g", F.col("text").cast("binary").alias("text"), "fp")
+    return rows.mapInArrow(run, f"node {kind}, root {kind}, g long, tokens array<long>")
 
 
 def _with_component(sets: DataFrame, by_set: DataFrame) -> DataFrame:
@@ -277,7 +350,7 @@ def drop_near_copies(docs: DataFrame, length: int = 5, num: int = 4, den: int =
     """One document of each component, the one with the smallest id, with all its columns."""
     found = similar_components(docs, length, num, den, id_column, text_column)
     gone = staged(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(gone, docs[id_column] == F.col("_gone"), "left_anti")
+    return docs.join(sized(gone), docs[id_column] == F.col("_gone"), "left_anti")
 
 
 SQL = r"""
