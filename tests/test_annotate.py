@@ -2,6 +2,7 @@
 
 import pytest
 
+from vaporlog.operators.basics import parse_dates
 from vaporlog.functions.matching import required_word
 from vaporlog.operators import blocks, project
 from vaporlog.operators.annotate import annotate
@@ -193,3 +194,13 @@ def test_filters_do_not_blow_up_the_plan(case_frame):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") < 400
     assert frame.count() == 1
+
+
+def test_zoned_dates_are_days_in_utc(spark, case_frame):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = case_frame({"date": "2025-01-01T02:00:00Z"}, {"date": "2025-01-01 23:30:00-05:00"}, {"date": "2025-01-01 02:00:00"}, {"date": "x"})
+        days = [str(r.case_date) for r in parse_dates(rows).orderBy("seq").collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert days[:3] == ["2025-01-01", "2025-01-02", "2025-01-01"]

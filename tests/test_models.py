@@ -1,8 +1,13 @@
 """Training, saving, scoring and evaluating on a small table."""
 
+from types import SimpleNamespace
+
+import pytest
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import functions as F
 
-from vaporlog.operators import models
+from vaporlog.functions.staging import shared_folder
+from vaporlog.operators import curate, features, models
 from vaporlog.plans.training import retrain_pipeline, train_pipeline
 
 QUICK = models.TrainConfig(max_iter=20, trees=3, depth=4)
@@ -30,3 +35,30 @@ def test_train_and_retrain(spark, tmp_path):
     labels = unseen.limit(2).select("seq", "procedure", F.lit("Vaginal del").alias("human_category"))
     _model, _evaluation, summary = retrain_pipeline(seen, unseen, labels, str(tmp_path / "again"), config=QUICK)
     assert summary.first().unseen_promoted == 2
+
+
+def test_vocabulary_does_not_depend_on_partitions(spark):
+    rows = spark.range(60).select(
+        F.concat(F.lit("VALVE\n  A"), F.pmod("id", F.lit(7)).cast("string"), F.lit(" B"), F.pmod("id", F.lit(5)).cast("string")).alias("procedure"),
+        F.lit("CARDIAC\nTHORACIC").alias("service_text"),
+    )
+    inputs = features.with_text(features.structured_features(features.feature_inputs(rows)))
+    found = []
+    for parts in (1, 3, 7):
+        stages = features.fit_features(inputs.repartition(parts)).stages
+        found.append([s.vocabulary for s in stages if isinstance(s, CountVectorizerModel)])
+    assert found[0] == found[1] == found[2]
+    # one line break is no run of white space and stays
+    assert any("\n" in gram for gram in found[0][1]) and not any("  " in gram for gram in found[0][1])
+
+
+def test_prepared_service_text_is_clean(spark):
+    rows = spark.createDataFrame([(1, "CABG", " nan "), (2, "CABG", None), (3, "CABG", " Cardiac\n")], "seq long, procedure string, service_text string")
+    assert [r.service_text for r in curate.prepare(rows).orderBy("seq").collect()] == ["", "", "Cardiac"]
+
+
+def test_written_tables_need_a_shared_folder(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(unset)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vaporlog.functions.ranking import hash_rank, top_per_group
+from vaporlog.functions.ranking import bin_sizes, narrow_order, top_per_group, with_chosen
 from vaporlog.functions.text import display_name, fixed_point
 from vaporlog.operators import curate, hybrid, quality, review
 from vaporlog.operators import queue as Q
@@ -68,10 +68,22 @@ def test_ranks_with_a_hot_group(spark):
         want = [s for g, _m, s in expected if g == group][:5]
         assert [r.seq for r in sorted(best, key=lambda r: r.rank) if r.g == group] == want
     hashed = curate.order_hash(frame, "seq")
-    ranked = hash_rank(hashed, ["g"], "_hash", ["seq"]).collect()
-    for group in ("hot", "cold"):
-        rows = sorted((r for r in ranked if r.g == group), key=lambda r: (r._hash, r.seq))
-        assert [r.rank for r in rows] == list(range(1, len(rows) + 1))
+    equal = frame.withColumn("_hash", F.lit(7))
+    for rows in (hashed, equal, hashed.withColumn("g", F.when(F.col("g") == "hot", "hot")), hashed.limit(0)):
+        narrow = narrow_order(rows, ["g"], "_hash", "seq")
+        for limit in (0, 700, 1000) if rows is hashed else (700,):
+            sizes = bin_sizes(narrow, ["g"], "_hash").withColumn("_limit", F.lit(limit))
+            found = with_chosen(rows, narrow, sizes, ["g"], "_hash", "seq").collect()
+            for group in {r.g for r in found}:
+                ranked = sorted((r for r in found if r.g == group), key=lambda r: (r._hash, r.seq))
+                assert [r.chosen for r in ranked] == [i < limit for i in range(len(ranked))]
+
+
+def test_samples_move_no_whole_rows(spark):
+    rows = spark.range(100).select(F.col("id").alias("seq"), F.lit("f").alias("file"), F.lit("x").alias("payload"))
+    plan = curate.sample_per_file(rows, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Window" not in plan
+    assert curate.sample_per_file(rows, 10).count() == 10
 
 
 def test_split(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vaporlog.functions.staging import written_once
+
 SALTS = 64
 BIN_BITS = 12
 
@@ -34,28 +36,29 @@ def _bin(hash_col: str) -> Column:
     return F.shiftright(F.col(hash_col), 32 - BIN_BITS)
 
 
-def hash_rank(df: DataFrame, groups: list[str], hash_col: str, tie: list[str]) -> DataFrame:
-    """Add ``rank``: the exact position of a row in its group by a 32-bit hash.
+def narrow_order(df: DataFrame, groups: list[str], hash_col: str, key: str) -> DataFrame:
+    """Groups, hash and key of all rows, written once: limits are found on these, whole rows are never moved."""
+    return written_once(df.select(*groups, hash_col, key))
 
-    The hash range is cut into 4096 bins. Bin sizes are aggregated (a few thousand rows
-    per group), their running totals joined back, and rows are numbered only inside
-    (group, bin): a group with a third of all rows is spread over 4096 pieces.
-    """
-    before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bin_sizes(df, groups, hash_col).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return rank_in_bins(df, groups, hash_col, tie, offsets.drop("_n"))
 
+def with_chosen(df: DataFrame, narrow: DataFrame, sizes: DataFrame, groups: list[str], hash_col: str, key: str) -> DataFrame:
+    """Add ``chosen``: whether a row is among the first ``_limit`` of its group by a 32-bit hash, then key.
 
-def rank_in_bins(df: DataFrame, groups: list[str], hash_col: str, tie: list[str], offsets: DataFrame,
-                 strata: list[str] | None = None) -> DataFrame:
-    """Add ``rank`` from ``offsets`` (groups, ``_bin``, ``_before`` and columns to keep).
-
-    ``strata`` are the columns that delimit the ranking when they are not the groups.
+    ``sizes`` has the groups, ``_bin``, ``_n`` (rows) and ``_limit``, the same in a group. Running totals of the 4096 bins of a group
+    tell the one bin that holds the limit; only its rows are numbered, and give the last row that is in. The result is one
+    small row per group that Spark measures and broadcasts, or joins by shuffle where there are very many groups.
     """
-    keys = [*groups, "_bin"]
-    binned = df.withColumn("_bin", _bin(hash_col))
-    same = [binned[key].eqNullSafe(offsets[key]) for key in keys]
-    more = [offsets[name] for name in offsets.columns if name not in keys]
-    joined = binned.join(offsets, same, "left").select(*[binned[name] for name in binned.columns], *more)
-    inside = Window.partitionBy(*(groups if strata is None else strata), "_bin").orderBy(hash_col, *tie)
-    return joined.withColumn("rank", F.col("_before") + F.row_number().over(inside)).drop("_bin", "_before")
+    before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    totals = written_once(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    edges = totals.filter("_before < _limit AND _limit <= _before + _n")
+    renamed = edges.select(*[F.col(g).alias(f"_edge_{g}") for g in groups], F.col("_bin").alias("_edge"), (F.col("_limit") - F.col("_before")).alias("_rest"))
+    same = [narrow[g].eqNullSafe(renamed[f"_edge_{g}"]) for g in groups]
+    inside = Window.partitionBy(*groups).orderBy(hash_col, key)
+    at_edge = narrow.join(renamed, [*same, _bin(hash_col) == F.col("_edge")]).withColumn("_rank", F.row_number().over(inside))
+    cuts = at_edge.filter("_rank = _rest").select(*[F.col(g).alias(f"_cut_{g}") for g in groups], F.struct(hash_col, key).alias("_cut"))
+    whole = totals.groupBy(*groups).agg((F.sum("_n") <= F.max("_limit")).alias("_whole"))
+    found = whole.join(cuts, [whole[g].eqNullSafe(cuts[f"_cut_{g}"]) for g in groups], "left")
+    limits = written_once(found.select(*[F.col(g).alias(f"_of_{g}") for g in groups], "_whole", "_cut"))
+    joined = df.join(limits, [df[g].eqNullSafe(limits[f"_of_{g}"]) for g in groups], "left")
+    inside_cut = F.coalesce(F.struct(hash_col, key) <= F.col("_cut"), F.lit(False))
+    return joined.select(*[df[name] for name in df.columns], (F.col("_whole") | inside_cut).alias("chosen"))

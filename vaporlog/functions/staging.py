@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,15 +21,11 @@ def computed_once(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a temporary one in local mode only."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    """The folder named in ``spark.checkpoint.dir``, or set as the session's checkpoint folder; one of the two is needed."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
         raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return folder.rstrip("/")
 
 
 def written_once(df: DataFrame) -> DataFrame:
@@ -37,7 +33,18 @@ def written_once(df: DataFrame) -> DataFrame:
 
     The expensive columns are computed once, the plan of every pass starts at a narrow
     columnar scan, and a lost executor costs a re-read instead of a re-computation.
+    The table is removed when the driver's process ends.
     """
     path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
+    atexit.register(_remove, df.sparkSession, path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        if spark.sparkContext._jsc is not None:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the session may have ended already
+        return

@@ -20,16 +20,21 @@ def number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER) | text.rlike(_SPECIAL_NUMBER), F.trim(text).try_cast("double"))
 
 
+def _day(layout: str) -> str:
+    """The day of a text in one layout: as written, or in UTC where the layout has a zone."""
+    moment = f"try_to_timestamp(date, {literal(layout)})"
+    if "XXX" in layout:  # no cast, which would take the day in the session's zone
+        return f"date_from_unix_date(CAST(floor(unix_seconds({moment}) / 86400) AS INT))"
+    return f"CAST({moment} AS DATE)"
+
+
 def parse_dates(df: DataFrame, default_year: int = S.DEFAULT_YEAR) -> DataFrame:
     """Add ``case_date`` and ``date_warning`` from the text column ``date``.
 
     Each layout is tried only on texts of its shape, so a failed parse is rare.
     """
     text = F.col("date")
-    parsed = first_value(*[
-        (f"rlike(date, {literal(shape)})", f"CAST(try_to_timestamp(date, {literal(layout)}) AS DATE)")
-        for shape, layout in S.DATE_LAYOUTS
-    ])
+    parsed = first_value(*[(f"rlike(date, {literal(shape)})", _day(layout)) for shape, layout in S.DATE_LAYOUTS])
     fallback = F.make_date(F.lit(default_year), F.lit(1), F.lit(1))
     default_note = f"using default year {default_year}"
     return df.withColumn("_parsed_date", F.expr(parsed)).withColumns({

@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaporlog.functions.matching import contains_any
-from vaporlog.functions.ranking import bin_sizes, hash_rank, rank_in_bins
+from vaporlog.functions.ranking import bin_sizes, narrow_order, with_chosen
 from vaporlog.functions.staging import written_once
-from vaporlog.functions.text import procedure_key, sha_long, split_lines, strip
+from vaporlog.functions.text import clean_text, procedure_key, sha_long, split_lines, strip
 from vaporlog.operators.categorize import categorize
 from vaporlog.rules import procedures as P
 from vaporlog.rules import schema as S
@@ -38,6 +38,7 @@ def prepare(rows: DataFrame) -> DataFrame:
     Reads ``procedure`` and ``service_text``; other columns pass through.
     """
     kept = rows.filter(F.col("procedure").isNotNull() & ~F.col("procedure").isin("", "nan"))
+    kept = kept.withColumn("service_text", clean_text(F.col("service_text")))
     ruled = categorize(kept.withColumn("services", split_lines(F.col("service_text"))))
     return ruled.withColumn("warnings", F.array_join("rule_warnings", "; ")).drop("services", "rule_warnings")
 
@@ -49,8 +50,10 @@ def order_hash(df: DataFrame, key: str, seed: int = T.SEED) -> DataFrame:
 
 def sample_per_file(rows: DataFrame, n: int, key: str = "seq", file: str = "file", seed: int = T.SEED) -> DataFrame:
     """At most ``n`` random rows of each file."""
-    ranked = hash_rank(order_hash(rows, key, seed), [file], "_hash", [key])
-    return ranked.filter(F.col("rank") <= n).drop("_hash", "rank")
+    ordered = order_hash(rows, key, seed)
+    narrow = narrow_order(ordered, [file], "_hash", key)
+    sizes = bin_sizes(narrow, [file], "_hash").withColumn("_limit", F.lit(n))
+    return with_chosen(ordered, narrow, sizes, [file], "_hash", key).filter("chosen").drop("_hash", "chosen")
 
 
 def value_tiers(prepared: DataFrame) -> DataFrame:
@@ -68,12 +71,11 @@ def sample_by_value(prepared: DataFrame, size: int = T.TOTAL_SAMPLE, key: str =
 
     Quotas that a tier cannot fill go down to the low tier only.
     """
-    # Two passes: sizes first, then ranks.
-    tiered = written_once(order_hash(value_tiers(prepared), key, seed))
+    tiered = order_hash(value_tiers(prepared), key, seed)
+    narrow = narrow_order(tiered, ["tier"], "_hash", key)
     high, medium = int(size * T.HIGH_SHARE), int(size * T.MEDIUM_SHARE)
     # Three tiers of at most 4096 bins: the rest works on a few thousand rows.
-    sizes = bin_sizes(tiered, ["tier"], "_hash")
-    before = Window.partitionBy("tier").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = bin_sizes(narrow, ["tier"], "_hash")
     every = Window.partitionBy()
 
     def filled(tier: str, quota: int) -> Column:
@@ -85,11 +87,8 @@ def sample_by_value(prepared: DataFrame, size: int = T.TOTAL_SAMPLE, key: str =
         .when(F.col("tier") == "medium", F.lit(medium))
         .otherwise(F.lit(size) - filled("high", high) - filled("medium", medium))
     )
-    offsets = sizes.select(
-        "tier", "_bin", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), quota.alias("_quota")
-    )
-    ranked = rank_in_bins(tiered, ["tier"], "_hash", [key], offsets)
-    return ranked.filter(F.col("rank") <= F.col("_quota")).drop("_hash", "rank", "_quota")
+    sizes = sizes.withColumn("_limit", quota)
+    return with_chosen(tiered, narrow, sizes, ["tier"], "_hash", key).filter("chosen").drop("_hash", "chosen")
 
 
 def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rule_category", key: str = "seq",
@@ -101,10 +100,10 @@ def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rul
     """
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"unseen ratio must be between 0 and 1, got {ratio}")
-    # Two passes: sizes first, then ranks.
-    labeled = written_once(order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed))
-    # At most 4096 bins per class; everything up to the last join works on these sizes.
-    sizes = bin_sizes(labeled, [label], "_hash")
+    labeled = order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed)
+    narrow = narrow_order(labeled, [label], "_hash", key)
+    # At most 4096 bins per class; the quotas work on these sizes.
+    sizes = bin_sizes(narrow, [label], "_hash")
     every = Window.partitionBy()
     quotas = sizes.groupBy(label).agg(F.sum("_n").alias("_rows")).withColumns({
         "_total": F.sum("_rows").over(every),
@@ -124,25 +123,17 @@ def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rul
     quotas = quotas.withColumn("_left", left).withColumn(
         "_quota", F.col("_base") + F.when(F.row_number().over(by_rest) <= F.col("_left"), 1).otherwise(0)
     )
-    in_class = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    in_all = every.orderBy("_bin").rangeBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        sizes.withColumns({"_in_class": F.sum("_n").over(in_class), "_in_all": F.sum("_n").over(in_all)})
-        .join(quotas.select(label, "_quota", "_test", "_stratify"), label)
-        .select(
-            label,
-            "_bin",
-            F.coalesce(F.when(F.col("_stratify"), F.col("_in_class")).otherwise(F.col("_in_all")), F.lit(0)).alias(
-                "_before"
-            ),
-            F.when(F.col("_stratify"), F.col("_quota")).otherwise(F.col("_test")).alias("_limit"),
-            F.when(F.col("_stratify"), F.col(label)).otherwise(F.lit("")).alias("_stratum"),
-        )
+    # One stratum per class, or one for all rows where the classes are too small.
+    quotas = quotas.select(
+        label,
+        F.when(F.col("_stratify"), F.col(label)).otherwise(F.lit("")).alias("_stratum"),
+        F.when(F.col("_stratify"), F.col("_quota")).otherwise(F.col("_test")).alias("_limit"),
     )
-    ranked = rank_in_bins(labeled, [label], "_hash", [key], offsets, strata=["_stratum"])
-    return ranked.withColumn(
-        "part", F.when(F.col("rank") <= F.col("_limit"), "unseen").otherwise("seen")
-    ).select(*prepared.columns, "part")
+    quotas = written_once(quotas)
+    per_stratum = sizes.join(quotas, label).groupBy("_stratum", "_bin").agg(F.sum("_n").alias("_n"), F.first("_limit").alias("_limit"))
+    strata = quotas.select(label, "_stratum")
+    chosen = with_chosen(labeled.join(strata, label), narrow.join(strata, label), per_stratum, ["_stratum"], "_hash", key)
+    return chosen.withColumn("part", F.when(F.col("chosen"), "unseen").otherwise("seen")).select(*prepared.columns, "part")
 
 
 def category_distribution(rows: DataFrame, label: str = "rule_category") -> DataFrame:

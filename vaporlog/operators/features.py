@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import (
     IDF,
-    CountVectorizer,
+    CountVectorizerModel,
     ElementwiseProduct,
     NGram,
     Normalizer,
@@ -86,15 +86,28 @@ def with_text(inputs: DataFrame) -> DataFrame:
     return inputs.withColumn("text", F.concat("procedure_text", F.coalesce(services, F.lit(""))))
 
 
+def _vocabulary(rows: DataFrame, terms: str, size: int) -> list[str]:
+    """The ``size`` most frequent terms that enough rows have; equally frequent ones in the order of the term.
+
+    The order does not depend on how the rows are partitioned.
+    """
+    seen = F.concat(
+        F.transform(terms, lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("rows"))),
+        F.transform(F.array_distinct(terms), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("rows"))),
+    )
+    counts = rows.select(F.explode(seen).alias("s")).groupBy("s.term").agg(F.sum("s.n").alias("n"), F.sum("s.rows").alias("rows"))
+    top = counts.filter(F.col("rows") >= T.MIN_DOC_FREQ).orderBy(F.desc("n"), "term").limit(size)
+    return [row["term"] for row in top.collect()]
+
+
 def _weighted(train: DataFrame, stages: list, terms: str, size: int, into: str) -> list:
     """Term counts times smoothed idf, scaled to length one.
 
     The idf of this library lacks the +1 that keeps frequent terms; it is added to the
     fitted weights, which are a vector of at most ``size`` numbers.
     """
-    counts = CountVectorizer(inputCol=terms, outputCol=f"{into}_counts", vocabSize=size, minDF=T.MIN_DOC_FREQ)
     prepared = PipelineModel(stages).transform(train) if stages else train
-    counter = counts.fit(prepared)
+    counter = CountVectorizerModel.from_vocabulary(_vocabulary(prepared, terms, size), terms, f"{into}_counts")
     idf = IDF(inputCol=f"{into}_counts", outputCol="_unused").fit(counter.transform(prepared)).idf
     weights = ElementwiseProduct(
         scalingVec=Vectors.dense([float(w) + 1.0 for w in idf]), inputCol=f"{into}_counts", outputCol=f"{into}_weights"
@@ -118,7 +131,7 @@ def fit_features(train: DataFrame, version: int = 2) -> PipelineModel:
         "transform(sequence(1, length(_c) - n + 1), i -> substring(_c, i, n)) ELSE CAST(array() AS ARRAY<STRING>) END))"
     )
     chars = [
-        SQLTransformer(statement=r"SELECT *, lower(regexp_replace(text, '\\s+', ' ')) AS _c FROM __THIS__"),
+        SQLTransformer(statement=r"SELECT *, lower(regexp_replace(text, '(?U)\\s\\s+', ' ')) AS _c FROM __THIS__"),
         SQLTransformer(statement=f"SELECT *, {grams} AS _chars FROM __THIS__"),
     ]
     word_stages = _weighted(train, words, "_terms", T.WORD_FEATURES, "word_vector")

@@ -22,16 +22,6 @@ class PairedExports:
     unpaired: DataFrame
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a scan that Spark would read in too few tasks.
-
-    A large input already has more splits than cores and is left alone. Call it on plain
-    scans only, where counting splits is planning work.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_csv(spark: SparkSession, path: str, mixed_layouts: bool = False, multi_line: bool = True) -> DataFrame:
     """Read CSV files as text columns, with ``_file`` (name) and ``_seq`` (row order).
 

@@ -726,8 +726,8 @@ cte("training_cases", """SELECT seq, file, service_text, service_text AS service
     CAST(NULL AS VARCHAR) AS nerve_block_type, CAST(NULL AS VARCHAR) AS asa, CAST(NULL AS VARCHAR) AS procedure_notes
     FROM training_rows WHERE procedure IS NOT NULL AND procedure NOT IN ('', 'nan')""", "training_rows")
 annotation("training_cases", "trained")
-cte("prepared", "SELECT seq, file, procedure, service_text, category AS rule_category, coalesce(category_warning, '') AS warnings FROM trained_8", "trained_8")
-register("f7_training_rows", "SELECT seq, file, procedure, rule_category, warnings FROM prepared", "prepared")
+cte("prepared", f"SELECT seq, file, procedure, {clean('service_text')} AS service_text, category AS rule_category, coalesce(category_warning, '') AS warnings FROM trained_8", "trained_8")
+register("f7_training_rows", "SELECT seq, file, procedure, service_text, rule_category, warnings FROM prepared", "prepared")
 register("a9_category_distribution", "SELECT rule_category, count(*) AS rows, round_even(count(*) * 100.0::DOUBLE / (SELECT count(*) FROM prepared), 1) AS percent FROM prepared GROUP BY 1", "prepared")
 register("a10_file_stats", """SELECT file, count(*) AS total_rows, count(*) FILTER (coalesce(procedure, '') NOT IN ('', 'nan')) AS valid_cases,
     count(*) FILTER (coalesce(procedure, '') IN ('', 'nan')) AS dropped_rows FROM training_rows GROUP BY 1""", "training_rows")

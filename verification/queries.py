@@ -422,7 +422,7 @@ def f6_review_focus(spark, sf):
 
 @query
 def f7_training_rows(spark, sf):
-    return prepared(spark, sf).select("seq", "file", "procedure", "rule_category", "warnings")
+    return prepared(spark, sf).select("seq", "file", "procedure", "service_text", "rule_category", "warnings")
 
 
 # --- windows, samples, top-k --------------------------------------------------------
@@ -445,28 +445,8 @@ def w3_bucket_candidates(spark, sf):
 @query
 def w4_bucket_quotas(spark, sf):
     # Room for one review case per hundred cases.
-    total = case_table(spark, sf).agg(F.floor(F.count(F.lit(1)) / 100).alias("room"))
-    weights = [(i, bucket, R.R.BUCKET_WEIGHTS[bucket]) for i, bucket in enumerate(R.R.BUCKETS)]
-    table = F.explode(F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(b).alias("bucket"), F.lit(w).alias("weight")) for i, b, w in weights
-    ])).alias("w")
-    return quota_table(total.select("room", table).select("room", "w.*"))
-
-
-def quota_table(rows: DataFrame) -> DataFrame:
-    """Quotas of four bucket rows: one place each, the rest by largest remainder."""
-    from pyspark.sql import Window
-
-    every = Window.partitionBy("room")
-    shares = rows.withColumn("floor", F.when(F.col("room") >= 4, 1).otherwise(0)).withColumn(
-        "exact", (F.col("room") - 4 * F.col("floor")) * F.col("weight")
-    ).withColumn("base", F.floor("exact"))
-    left = F.col("room") - 4 * F.col("floor") - F.sum("base").over(every)
-    order = every.orderBy(F.desc(F.col("exact") - F.col("base")), "place")
-    return shares.withColumn("_left", left).withColumn("_rank", F.row_number().over(order)).select(
-        "bucket",
-        (F.col("floor") + F.col("base") + F.when(F.col("_rank") <= F.col("_left"), 1).otherwise(0)).alias("quota"),
-    )
+    room = case_table(spark, sf).count() // 100
+    return spark.createDataFrame(list(R.bucket_quotas(room).items()), "bucket string, quota long")
 
 
 @query

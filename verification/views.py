@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vaporlog.sources.exports import spread
 
 NL = "' || chr(10) || '"
 
@@ -294,7 +293,9 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived view over the parquet tables of one directory."""
     sql = VIEWS[name]
     used = [t for t in BASE_TABLES if "{" + t + "}" in sql]
-    tables = {t: spread(spark.read.parquet(f"{sf_dir}/{t}.parquet"), KEYS[t]) for t in used}
+    # The given files have one row group each: without the exchange a view would run in one task.
+    cores = spark.sparkContext.defaultParallelism
+    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(cores, KEYS[t]) for t in used}
     return spark.sql(sql, **tables)
 
 
