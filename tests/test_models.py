@@ -37,6 +37,18 @@ def test_train_and_retrain(spark, tmp_path):
     assert summary.first().unseen_promoted == 2
 
 
+def test_cross_validation_is_stratified(spark):
+    rows = spark.range(60).select(
+        F.col("id").alias("seq"), F.lit("").alias("service_text"),
+        F.when(F.pmod("id", F.lit(6)) == 0, "CESAREAN SECTION").otherwise("CABG").alias("procedure"),
+        F.when(F.pmod("id", F.lit(6)) == 0, "one").otherwise("two").alias("label"),
+    )
+    model = models.train(rows, rows, "label", QUICK)
+    accuracies = models.cross_validate(rows, model, "label", folds=5, config=QUICK)
+    assert len(accuracies) == 5 and min(accuracies) == 1.0  # each fold has two rows of the rare class
+    assert models.cross_validate(rows, model, "label", folds=11, config=QUICK) == []
+
+
 def test_vocabulary_does_not_depend_on_partitions(spark):
     rows = spark.range(60).select(
         F.concat(F.lit("VALVE\n  A"), F.pmod("id", F.lit(7)).cast("string"), F.lit(" B"), F.pmod("id", F.lit(5)).cast("string")).alias("procedure"),

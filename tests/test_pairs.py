@@ -147,3 +147,10 @@ def test_quoted_cells_keep_line_breaks_and_quotes(spark, tmp_path):
     (tmp_path / "a.csv").write_text('id,services,note\n1,"TRAUMA\nENT","said ""ETT 7"", ok"\n2,ENT,plain\n')
     rows = {r["id"]: (r["services"], r["note"]) for r in read_csv(spark, str(tmp_path)).collect()}
     assert rows == {"1": ("TRAUMA\nENT", 'said "ETT 7", ok'), "2": ("ENT", "plain")}
+
+
+def test_case_logs_have_one_file_per_small_resident(spark, tmp_path):
+    log = spark.range(0, 400, 1, 16).select("id", F.concat(F.lit("r"), F.pmod("id", F.lit(10))).alias("resident"))
+    sinks.write_case_logs(log, str(tmp_path / "log"))
+    assert len(list((tmp_path / "log").rglob("*.parquet"))) == 10
+    assert spark.read.parquet(str(tmp_path / "log")).select("id").exceptAll(log.select("id")).isEmpty()

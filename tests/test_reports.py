@@ -130,6 +130,29 @@ def test_override_merge(spark):
     }
 
 
+def test_override_merge_meets_one_row_per_key(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("seq"),
+        F.when(F.col("id") < 300, "hot").when(F.col("id") < 320, " ").otherwise(F.concat(F.lit("k"), F.pmod("id", F.lit(9)))).alias("procedure"),
+        F.when(F.pmod("id", F.lit(3)) == 0, "A").otherwise("B").alias("rule_category"),
+        F.when(F.pmod("id", F.lit(5)) == 0, "unseen").otherwise("seen").alias("part"),
+    )
+    overrides = spark.createDataFrame([("HOT", "A"), ("K1", "C"), ("NONE", "D")], "procedure_key string, override string")
+    marked = curate.apply_overrides(rows, overrides).collect()
+    last = {}
+    for r in sorted(marked, key=lambda r: (r.part == "unseen", r.seq)):
+        if r.part == "seen" or r.overridden:
+            last[r.procedure_key] = r
+    retrain, remaining = curate.merge_overrides(rows, overrides)
+    got = [(r.procedure_key, r.seq, r.rule_category, r.overridden, r.corrected) for r in retrain.collect()]
+    assert sorted(got) == sorted(
+        (k, r.seq, r.rule_category, r.overridden, r.corrected) for k, r in last.items() for _ in range(3 if r.corrected else 1)
+    )
+    left = sorted(r.seq for r in marked if r.part == "unseen" and not r.overridden)
+    assert sorted(r.seq for r in remaining.collect()) == left
+    assert curate.merge_summary(rows, overrides).first().remaining_eval_rows == len(left)
+
+
 def test_quotas():
     assert review.bucket_quotas(600) == {"double_lumen": 180, "tube_route": 180, "ga_mac": 180, "control": 60}
     assert review.bucket_quotas(0) == dict.fromkeys(review.R.BUCKETS, 0)

@@ -170,17 +170,20 @@ def override_map(review_labels: DataFrame, seq: str = "seq") -> DataFrame:
     return keep_last(keyed.filter(F.col("procedure_key") != ""), "procedure_key", seq).drop(seq)
 
 
+def _keyed(rows: DataFrame, label: str) -> DataFrame:
+    return rows.withColumns({
+        label: normalize_label(F.col(label)),
+        "procedure_key": procedure_key(F.col("procedure")),
+    })
+
+
 def apply_overrides(rows: DataFrame, overrides: DataFrame, label: str = "rule_category") -> DataFrame:
     """Replace labels by their override; adds ``procedure_key``, ``overridden`` and ``corrected``.
 
     The override table grows with the reviews: Spark broadcasts it only when it measures
     small, and joins by shuffle otherwise.
     """
-    keyed = rows.withColumns({
-        label: normalize_label(F.col(label)),
-        "procedure_key": procedure_key(F.col("procedure")),
-    })
-    joined = keyed.join(overrides, "procedure_key", "left")
+    joined = _keyed(rows, label).join(overrides, "procedure_key", "left")
     has = F.col("override").isNotNull()
     return joined.withColumns({
         "overridden": has,
@@ -189,6 +192,15 @@ def apply_overrides(rows: DataFrame, overrides: DataFrame, label: str = "rule_ca
     }).select(*rows.columns, "procedure_key", "overridden", "corrected")
 
 
+def _is_seen() -> Column:
+    return F.col("part") == "seen"
+
+
+def _merge_order(seq: str) -> Column:
+    """Promoted rows come after all seen rows."""
+    return F.struct((~_is_seen()).alias("promoted"), F.col(seq))
+
+
 def label_parts(seen: DataFrame, unseen: DataFrame) -> DataFrame:
     """Seen and unseen rows as one table with a ``part`` column."""
     return seen.withColumn("part", F.lit("seen")).unionByName(unseen.withColumn("part", F.lit("unseen")))
@@ -199,39 +211,50 @@ def merge_overrides(rows: DataFrame, overrides: DataFrame, label: str = "rule_ca
     """Retrain table and remaining evaluation table from rows with a ``part``.
 
     Reviewed unseen rows join the seen rows, the last row per procedure key stays, and
-    corrected rows are repeated (three times in total).
+    corrected rows are repeated (three times in total). Overrides meet one row per key: the
+    last of all rows (what stays if the key is reviewed) and the last seen one (if it is not).
+    Only the unseen rows that remain are matched row by row.
     """
-    marked = apply_overrides(rows, overrides, label)
-    is_seen = F.col("part") == "seen"
-    usable = marked.filter(is_seen | F.col("overridden"))
-    # Promoted rows come after all seen rows.
-    ordered = usable.withColumn("_order", F.struct((~is_seen).alias("promoted"), F.col(seq)))
-    merged = keep_last(ordered, "procedure_key", "_order").drop("_order")
+    keyed = _keyed(rows, label)
+    row = F.struct(*rows.columns)
+    per_key = keyed.groupBy("procedure_key").agg(
+        F.max_by(row, _merge_order(seq)).alias("_any"),
+        F.max_by(F.when(_is_seen(), row), F.when(_is_seen(), F.col(seq))).alias("_seen"),
+    )
+    joined = per_key.join(overrides, "procedure_key", "left")
+    has = F.col("override").isNotNull()
+    merged = joined.select(
+        "procedure_key", "override", has.alias("overridden"), F.when(has, F.col("_any")).otherwise(F.col("_seen")).alias("_row"),
+    ).filter("_row IS NOT NULL").select("procedure_key", "override", "overridden", "_row.*")
+    merged = merged.withColumns({
+        "corrected": F.col("overridden") & (F.col(label) != F.col("override")),
+        label: F.coalesce("override", label),
+    }).select(*rows.columns, "procedure_key", "overridden", "corrected")
     copies = F.when(F.col("corrected"), T.CORRECTION_MULTIPLIER).otherwise(1)
     retrain = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    remaining = marked.filter(~is_seen & ~F.col("overridden")).select(*rows.columns)
+    remaining = keyed.filter(~_is_seen()).join(overrides, "procedure_key", "left_anti").select(*rows.columns)
     return retrain, remaining
 
 
 def merge_summary(rows: DataFrame, overrides: DataFrame, label: str = "rule_category", seq: str = "seq") -> DataFrame:
-    """One row of counts describing an override merge, from one pass over the rows."""
-    marked = apply_overrides(rows, overrides, label)
-    is_seen = F.col("part") == "seen"
-    kept = F.when(is_seen | F.col("overridden"), F.struct((~is_seen).alias("promoted"), F.col(seq)))
-    per_key = marked.groupBy("procedure_key").agg(
-        F.max_by("corrected", kept).alias("corrected"),
-        F.count(kept).alias("usable"),
-        F.count_if(is_seen & F.col("overridden")).alias("seen_overrides"),
-        F.count_if(~is_seen & F.col("overridden")).alias("promoted"),
-        F.count_if(~is_seen & ~F.col("overridden")).alias("remaining"),
-    )
-    corrected = F.count_if((F.col("usable") > 0) & F.col("corrected"))
+    """One row of counts describing an override merge, from one pass over the rows; overrides meet one row per key."""
+    per_key = _keyed(rows, label).groupBy("procedure_key").agg(
+        F.max_by(label, _merge_order(seq)).alias("_last"),
+        F.count_if(_is_seen()).alias("_seen"),
+        F.count_if(~_is_seen()).alias("_unseen"),
+    ).join(overrides, "procedure_key", "left")
+    has = F.col("override").isNotNull()
+    corrected = F.count_if(has & (F.col("_last") != F.col("override")))
     more = T.CORRECTION_MULTIPLIER - 1
+
+    def total(name: str, where: Column) -> Column:
+        return F.sum(F.when(where, F.col(name)).otherwise(0))
+
     return per_key.agg(
         corrected.alias("corrected_rows_weighted"),
         (corrected * more).alias("rows_added_by_weighting"),
-        (F.count_if(F.col("usable") > 0) + corrected * more).alias("retrain_rows"),
-        F.sum("seen_overrides").alias("seen_overrides_applied"),
-        F.sum("promoted").alias("unseen_promoted"),
-        F.sum("remaining").alias("remaining_eval_rows"),
+        (F.count_if(has | (F.col("_seen") > 0)) + corrected * more).alias("retrain_rows"),
+        total("_seen", has).alias("seen_overrides_applied"),
+        total("_unseen", has).alias("unseen_promoted"),
+        total("_unseen", ~has).alias("remaining_eval_rows"),
     ).withColumn("override_count", overrides.agg(F.count(F.lit(1))).scalar())

@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import written_once
@@ -92,7 +92,7 @@ def _probabilities(vectors: DataFrame, model, into: str) -> DataFrame:
 
 def score_vectors(vectors: DataFrame, candidates: dict, best: str, labels: list[str]) -> DataFrame:
     """Score feature vectors with one candidate, or with the mean of both."""
-    names = [LOGISTIC, FOREST] if best == ENSEMBLE else [best]
+    names = _learners(best)
     for name in names:
         vectors = _probabilities(vectors, candidates[name], f"_p_{name}")
     if best == ENSEMBLE:
@@ -116,8 +116,13 @@ def top_predictions(scored: DataFrame, labels: list[str], k: int = 3) -> DataFra
     )
 
 
-def _fit_candidates(vectors: DataFrame, rows: int, config: TrainConfig) -> dict:
-    """Both candidate classifiers.
+def _learners(name: str) -> list[str]:
+    """The classifiers a candidate is made of."""
+    return [LOGISTIC, FOREST] if name == ENSEMBLE else [name]
+
+
+def _fit_candidates(vectors: DataFrame, rows: int, config: TrainConfig, best: str = ENSEMBLE) -> dict:
+    """The classifiers that candidate ``best`` needs.
 
     The penalty 1/rows equals a unit penalty on the summed loss. The forest has no
     smallest size of a split here; two rows per leaf come closest.
@@ -129,7 +134,8 @@ def _fit_candidates(vectors: DataFrame, rows: int, config: TrainConfig) -> dict:
         labelCol="_label", numTrees=config.trees, maxDepth=config.depth, seed=config.seed,
         minInstancesPerNode=T.FOREST_MIN_SPLIT // 2, featureSubsetStrategy="sqrt",
     )
-    return {LOGISTIC: logistic.fit(vectors), FOREST: forest.fit(vectors)}
+    known = {LOGISTIC: logistic, FOREST: forest}
+    return {name: known[name].fit(vectors) for name in _learners(best)}
 
 
 def _accuracy(scored: DataFrame, label: str) -> float:
@@ -166,19 +172,24 @@ def train(train_rows: DataFrame, validation_rows: DataFrame, label: str, config:
 
 def cross_validate(rows: DataFrame, model: ProcedureModel, label: str, key: str = "seq", folds: int = T.CV_FOLDS,
                    config: TrainConfig | None = None) -> list[float]:
-    """Accuracy per fold with fixed features; empty when a class has fewer rows than folds."""
+    """Accuracy per stratified fold with fixed features; empty when a class has fewer rows than folds.
+
+    ``rows`` is the bounded training sample. Each class is dealt out in hash order, one row to
+    every fold in turn, and only the learners of the model's best candidate are fitted.
+    """
     config = config or TrainConfig()
     truth = rows.withColumn("_truth", normalize_label(F.col(label)))
     smallest = truth.groupBy("_truth").count().agg(F.min("count").alias("n")).first()["n"]
     if smallest is None or smallest < folds:
         return []
-    vectors = order_hash(model.vectors(truth), key, config.seed).select("_truth", "features", "_hash")
+    vectors = order_hash(model.vectors(truth), key, config.seed).select("_truth", "features", "_hash", F.col(key).alias("_key"))
+    dealt = Window.partitionBy("_truth").orderBy("_hash", "_key")
     indexer = StringIndexer(inputCol="_truth", outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
-    vectors = written_once(indexer.transform(vectors).withColumn("_fold", F.col("_hash") % folds))
+    vectors = written_once(indexer.transform(vectors).withColumn("_fold", F.row_number().over(dealt) % folds))
     accuracies = []
     for fold in range(folds):
         part = vectors.filter(F.col("_fold") != fold)
-        candidates = _fit_candidates(part, part.count(), config)
+        candidates = _fit_candidates(part, part.count(), config, model.best)
         held_out = vectors.filter(F.col("_fold") == fold)
         accuracies.append(_accuracy(score_vectors(held_out, candidates, model.best, list(indexer.labels)), "_truth"))
     return accuracies

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vaporlog.functions.staging import written_once
 from vaporlog.functions.text import fixed_point, is_blank
 
 LOW_CONFIDENCE = 0.7
@@ -113,10 +114,14 @@ def case_table(cases: DataFrame, keep=()) -> DataFrame:
 
 
 def first_problems(cases: DataFrame, n: int = 20, seq: str = "seq") -> DataFrame:
-    """The first problematic cases, with ``more``: how many are not shown."""
+    """The first problematic cases, with ``more``: how many are not shown.
+
+    The narrow problem rows are written once, so that counting them annotates nothing again.
+    """
     problems = with_missing_fields(problematic_cases(cases)).select(
         seq, "episode_id", "confidence_score", "parsing_warnings", "missing_fields"
     )
+    problems = written_once(problems)
     total = problems.agg(F.count(F.lit(1))).scalar()
     return problems.orderBy(seq).limit(n).withColumn("more", F.greatest(total - n, F.lit(0)))
 

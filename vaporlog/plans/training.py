@@ -45,13 +45,18 @@ def evaluate(model: models.ProcedureModel, rows: DataFrame, label: str | None =
 
 
 def train_pipeline(rows: DataFrame, output: str, size: int = T.TOTAL_SAMPLE, ratio: float = 0.2, force: bool = False,
-                   config: models.TrainConfig | None = None) -> tuple[models.ProcedureModel, Evaluation]:
-    """Raw rows to a saved model and its evaluation on unseen rows."""
+                   config: models.TrainConfig | None = None, folds: int = 0) -> tuple[models.ProcedureModel, Evaluation]:
+    """Raw rows to a saved model and its evaluation on unseen rows.
+
+    With ``folds``, accuracies of a cross-validation over the seen rows go into the metadata.
+    """
     prepared = save_table(curate.sample_by_value(curate.prepare(rows), size), f"{output}/prepared", force)
     parts = curate.split_seen_unseen(prepared, ratio)
     seen = save_table(parts.filter("part = 'seen'").drop("part"), f"{output}/seen", force)
     unseen = save_table(parts.filter("part = 'unseen'").drop("part"), f"{output}/unseen", force)
     model = _fit(seen, config)
+    if folds:
+        model.metadata["cross_validation"] = models.cross_validate(seen, model, "rule_category", folds=folds, config=config)
     model.save(f"{output}/model", force)
     return model, evaluate(model, unseen, label="rule_category")
 

@@ -12,10 +12,11 @@ def write_case_logs(log: DataFrame, path: str, resident: str = "resident", file_
                     overwrite: bool = False) -> None:
     """One output folder per resident, all in one job.
 
-    No shuffle by resident: a resident with very many cases is written by many tasks.
+    Rows are rebalanced by resident: small residents get one file each, and Spark splits a
+    resident with very many cases over several tasks.
     """
     mode = "overwrite" if overwrite else "errorifexists"
-    log.write.mode(mode).partitionBy(resident).option("header", True).format(file_format).save(path)
+    log.hint("rebalance", resident).write.mode(mode).partitionBy(resident).option("header", True).format(file_format).save(path)
 
 
 def format_metadata(spark: SparkSession, format_type: str) -> DataFrame:

@@ -629,10 +629,6 @@ def m9_rules_only(spark, sf):
     return hybrid.rules_only(ruled(spark, sf)).select("seq", "procedure_category", "method", "category_confidence")
 
 
-# Small model sizes keep these three queries short; the data is whole.
-QUICK = models.TrainConfig(max_iter=30, trees=10, depth=8)
-
-
 def seen_and_unseen(spark, sf):
     rows = prepared(spark, sf).select("seq", "procedure", "service_text", "rule_category")
     split = curate.split_seen_unseen(rows)
@@ -669,7 +665,7 @@ def m3_structured_features_v1(spark, sf):
 @query
 def m5_m8_scored_rows(spark, sf):
     seen, unseen = seen_and_unseen(spark, sf)
-    model = models.train(seen, unseen, "rule_category", QUICK)
+    model = models.train(seen, unseen, "rule_category")
     return models.top_predictions(model.score(unseen), model.labels).select(
         "seq", "ml_category", "ml_confidence", F.to_json("top_predictions").alias("top_predictions")
     )
@@ -678,7 +674,7 @@ def m5_m8_scored_rows(spark, sf):
 @query
 def m11_evaluation(spark, sf):
     seen, unseen = seen_and_unseen(spark, sf)
-    model = models.train(seen, unseen, "rule_category", QUICK)
+    model = models.train(seen, unseen, "rule_category")
     return plans.evaluate(model, unseen, label="rule_category").accuracy
 
 
