@@ -305,6 +305,38 @@ def test_lines(docs):
     assert {r.doc_id: r.text for r in left} == {1: "a\nb", 2: "\nc", 3: None}
 
 
+def test_long_lines_are_near_by_their_length(spark):
+    rng = random.Random(14)
+    pool = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (99, 100, 104, 131, 190, 260, 411, 640)]
+    lines = ["x" * 300, "x" * 310, "ab" * 200] + pool
+    for line in pool:
+        limit = len(line) // 20
+        lines += [edited(rng, line, k) for k in (3, limit - 1, limit, limit + 1, 2 * limit)]
+        step = list(line)
+        step[10::20] = ["#"] * len(step[10::20])  # edits as far apart as they can be
+        lines += ["".join(step), line + "+" * limit, line[limit:], "+" * (limit + 1) + line]
+    table = spark.createDataFrame(list(enumerate(lines)), "node long, line string")
+    root = {i: i for i in range(len(lines))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2):
+        limit = min(len(a), len(b)) // 20
+        if abs(len(a) - len(b)) <= limit and distance(a, b) <= limit:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    linked = {find(i) for i in root if find(i) != i}
+    assert len(linked) >= len(pool)
+    got = {r.node: r.root for r in line_dedup.line_classes(table).collect()}
+    assert got == {i: find(i) for i in root if find(i) in linked}
+    for a, b in itertools.combinations(lines[:14], 2):
+        for edits in (0, 10, 40, 300):
+            assert line_dedup.within(a, b, edits) == (distance(a, b) <= edits)
+
+
 # licenses
 
 def test_licenses(docs):
