@@ -350,6 +350,20 @@ def test_licenses(docs):
     assert licenses.scan_licenses(docs()).count() == 0
 
 
+def test_whole_license_texts(docs):
+    whole = list(licenses.TEMPLATES)
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense", "BSD-3-Clause"} <= set(whole)
+    rows = [(i, f"Before. {licenses.TEMPLATES[name]}") for i, name in enumerate(whole)]
+    got = licenses.scan_licenses(docs(*rows)).collect()
+    assert sorted((r.doc_id, r.license) for r in got) == list(enumerate(whole))
+    for r in got:
+        text = dict(rows)[r.doc_id]
+        words = list(re.finditer(r"[A-Za-z0-9\u0080-\U0010FFFF]+", text))
+        assert (r.coverage, r.span_start, r.span_end) == (1.0, words[1].start(), words[-1].end())
+    assert next(r for r in got if r.license == "MIT").matched.endswith("DEALINGS IN THE SOFTWARE")
+    assert len(licenses.TEMPLATES["GPL-3.0"].split()) > 5000
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(200):
