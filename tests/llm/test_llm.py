@@ -364,6 +364,20 @@ def test_whole_license_texts(docs):
     assert len(licenses.TEMPLATES["GPL-3.0"].split()) > 5000
 
 
+def test_license_places_near_each_other():
+    line = "Released under the MIT License."
+    scan = licenses.Scanner({"MIT-line": line}).scan
+    for n in (1, 2, 3, 5):
+        text = " ".join([line] * n)
+        assert [(m[0], m[1], m[2]) for m in scan(text, 0.6)] == [("MIT-line", 1.0, k * (len(line) + 1)) for k in range(n)]
+    # a chance hit a few words before the true start, and inserted words that need the whole band
+    words = [f"w{i}" for i in range(40)]
+    copy = [*words[:20], *[f"new{i}" for i in range(8)], *words[20:]]
+    for before in range(1, 8):
+        text = " ".join([*words[:3], *["x"] * before, *copy])
+        assert max(m[1] for m in licenses.Scanner({"t": " ".join(words)}).scan(text, 0.6)) == 1.0
+
+
 def test_alignment_equals_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(200):

@@ -158,10 +158,11 @@ def align(text: np.ndarray, template: np.ndarray, start: int = 0, band: int = BA
             options = [best.get(d + 1, (0, -1, -1)), now.get(d - 1, (0, -1, -1))]  # leave out a word of either side
             if 0 <= i < n and int(text[i]) == word:
                 count, first, _ = best.get(d, (0, -1, -1))
-                options.append((count + 1, first if count else i, i + 1))
+                options.insert(0, (count + 1, first if count else i, i + 1))  # before equal ones of other diagonals
             now[d] = max(options, key=lambda x: (x[0], -(x[2] - x[1])))
         best = now
-    return max(best.values(), key=lambda x: (x[0], -(x[2] - x[1])), default=(0, -1, -1))
+    # of equal ones the nearest diagonal, so each of several copies in a row has its own
+    return max(best.items(), key=lambda x: (x[1][0], -(x[1][2] - x[1][1]), -abs(x[0])), default=(0, (0, -1, -1)))[1]
 
 
 def most(text: np.ndarray, template: np.ndarray, start: int, band: int = BAND) -> int:
@@ -209,16 +210,15 @@ class Scanner:
                     starts[name].add(i - place)
         found = []
         for name, places in starts.items():
-            template, last = self.templates[name], None
+            template, done = self.templates[name], set()
             for start in sorted(places):
-                if last is not None and start - last <= BAND:
-                    continue  # the same place within the band
-                if most(numbers, template, start) < coverage * len(template):
+                if start in done or most(numbers, template, start) < coverage * len(template):
                     continue
-                last = start
                 matched, first, stop = align(numbers, template, start)
                 if matched >= coverage * len(template):
                     found.append((name, matched / len(template), first, stop))
+                    if matched == len(template) == stop - first:
+                        done.add(first)  # its own diagonal, word for word
         found.sort(key=lambda m: (-round(m[1] * len(self.templates[m[0]])), -m[1], m[2], m[0]))
         chosen: list[tuple[str, float, int, int]] = []
         for match in found:
