@@ -15,6 +15,7 @@ from vaporlog.llm import (
     ngram_join,
     packing,
     quality_rules,
+    token_files,
     toxicity,
     warc,
 )
@@ -71,11 +72,16 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents written to coded files and read back."""
+    return token_files.token_digests(token_files.token_file_round_trip(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     function.__name__: function
     for function in (
         op1_line_dedup, op2_toxicity, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_warc, op7_ngram_join,
-        op8_bpe, op9_license_scan, op10_html_text,
+        op8_bpe, op9_license_scan, op10_html_text, op11_token_files,
     )
 }
 
