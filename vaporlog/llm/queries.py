@@ -15,6 +15,8 @@ from vaporlog.llm import (
     ngram_join,
     packing,
     quality_rules,
+    source_divergence,
+    token_alignment,
     token_files,
     toxicity,
     warc,
@@ -77,11 +79,22 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(token_files.token_file_round_trip(table(spark, sf_dir, "documents")))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources of all documents against each other and against their language."""
+    return source_divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents by two tokenizers, aligned and counted."""
+    return token_alignment.alignment_summary(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     function.__name__: function
     for function in (
         op1_line_dedup, op2_toxicity, op3_quality_rules, op4_exact_dedup, op5_best_fit_packing, op6_warc, op7_ngram_join,
         op8_bpe, op9_license_scan, op10_html_text, op11_token_files,
+        op12_source_divergence, op13_token_alignment,
     )
 }
 
@@ -90,4 +103,5 @@ ORACLE = {
     "op4_exact_dedup": exact_dedup.SQL,
     "op6_warc": warc.SQL,
     "op7_ngram_join": ngram_join.SQL,
+    "op12_source_divergence": source_divergence.SQL,
 }
