@@ -200,7 +200,7 @@ def _difference(p: str, q: str) -> F.Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) DIV ({p} + {q})")
 
 
-def _tile(key, rows: pa.Table) -> pa.Table:
+def _tile(key, rows):
     """Differences of the sources of a tile, summed over its ordinals. Rows without an ordinal tell what a source has where it has no row."""
     number, ordinal, p = (rows.column(name).to_numpy() for name in ("number", "ordinal", "p"))
     block = number // SOURCES
