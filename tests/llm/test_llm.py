@@ -197,8 +197,7 @@ def test_rank_queue_equals_tiktoken(docs):
 
 
 def test_packing(docs):
-    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))  # the plain call: a special token's string is that token
     rng = random.Random(8)
     rows = [*ODD, *[(10 + i, word_text(rng, rng.choice([3, 40, 200, 900]))) for i in range(120)], (500, "<|endoftext|>")]
     got = packing.pack_documents(docs(*rows)).toPandas()
