@@ -30,7 +30,7 @@ BROADCAST_BYTES = 32 << 20
 #: Different terms that a task holds before it hands them on. Results do not depend on it.
 HELD = 400_000
 #: Ordinals and sources of a tile of the pairwise sums.
-CHUNK = 1 << 14
+CHUNK = 1 << 12
 SOURCES = 128
 #: Letters A-Z become small, bytes of other characters than ASCII stay, all else separates terms.
 LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
