@@ -154,3 +154,94 @@ def test_case_logs_have_one_file_per_small_resident(spark, tmp_path):
     sinks.write_case_logs(log, str(tmp_path / "log"))
     assert len(list((tmp_path / "log").rglob("*.parquet"))) == 10
     assert spark.read.parquet(str(tmp_path / "log")).select("id").exceptAll(log.select("id")).isEmpty()
+
+
+def plan_of(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_malformed_and_ragged_rows_are_rejected(spark, folder, tmp_path_factory):
+    write(folder, "ROE_ANN.CaseList.csv", CASES + "X,2025-01-01,30,1,Knee,,one,two\nY,2025-01-02,31\nZ,2025-01-03,32,1,Hip,\"DOE, J@x\"\n")
+    write(folder, "ROE_ANN.ProcedureList.csv", PROCS + 'Y,LMA,"left open,\nnever closed\n')
+    paired = exports.scan_pairs(spark, str(folder))
+    good, bad = exports.quarantine(paired.cases)
+    assert {r.MPOG_Case_ID: (r.AIMS_Patient_Age_Years, r.ASA_Status) for r in good.filter("pair_key = 'ROE_ANN'").collect()} == {
+        "Y": ("31", None), "Z": ("32", "1")}
+    row = bad.first()
+    assert bad.count() == 1 and (row.pair_key, row.source_text) == ("ROE_ANN", "X,2025-01-01,30,1,Knee,,one,two")
+    assert (row.parsing_warnings, row.confidence_score) == (["Failed to process row: malformed record"], 0.0)
+    assert good.select("MPOG_Case_ID").count() == 4 and "_corrupt_record" not in good.columns  # also with few columns
+    output = str(tmp_path_factory.mktemp("out") / "logs")
+    result = build_case_logs(spark, str(folder), output)
+    found = sorted((r.pair_key, r.found_in, r.source_text.split(",")[0], str(r.case_date)) for r in result.rejects.collect())
+    assert found == [("ROE_ANN", "CaseList", "X", "2025-01-01"), ("ROE_ANN", "ProcedureList", "Y", "2025-01-01")]
+    assert spark.read.parquet(f"{output}/case_log/data").count() == 4
+    assert spark.read.parquet(f"{output}/rejects").count() == 2
+    rest = exports.quarantine(exports.read_csv(spark, f"{folder}/ROE_ANN.ProcedureList.csv", multi_line=False))
+    assert [r.MPOG_Case_ID for r in rest[0].collect()] == ["never closed"]  # an open quote spoils one line only
+    assert [r.source_text for r in rest[1].collect()] == ['Y,LMA,"left open,']
+
+
+def test_pairs_come_from_the_listing(spark, folder, monkeypatch):
+    opened = []
+    monkeypatch.setattr(exports, "read_csv", lambda s, paths, *a: opened.append(sorted(p.rsplit("/", 1)[1] for p in paths)) or s.createDataFrame(
+        [(p,) for p in paths], "_file string"))
+    paired = exports.scan_pairs(spark, str(folder))
+    assert opened == [
+        ["DOE_JANE.Supervised.CaseList.csv", "ROE_ANN.CaseList.csv"], ["DOE_JANE.Supervised.ProcedureList.csv", "ROE_ANN.ProcedureList.csv"]
+    ]
+    assert {r.pair_key for r in paired.cases.collect()} == {"DOE_JANE", "ROE_ANN"}
+    opened.clear()
+    exports.scan_pairs(spark, str(folder), where="pair_key = 'ROE_ANN'")
+    assert opened == [["ROE_ANN.CaseList.csv"], ["ROE_ANN.ProcedureList.csv"]]
+    plan = plan_of(exports.list_files(spark, str(folder)))
+    assert "ReadSchema: struct<path:string>" in plan and "content" not in plan
+
+
+def test_exports_written_by_spark_are_folders(spark, tmp_path):
+    cases = spark.createDataFrame([("A 1+%", "C1", "x,\n\"y\""), ("B", "C2", None)], "pair_key string, MPOG_Case_ID string, AIMS_Actual_Procedure_Text string")
+    for suffix in ("CaseList", "ProcedureList"):
+        named = cases.select(F.concat("pair_key", F.lit(f".{suffix}.csv")).alias("export"), "MPOG_Case_ID", "AIMS_Actual_Procedure_Text")
+        named.write.partitionBy("export").option("header", True).option("escape", '"').mode("append").csv(str(tmp_path))
+    paired = exports.scan_pairs(spark, str(tmp_path))
+    rows = {r.MPOG_Case_ID: r.AIMS_Actual_Procedure_Text for r in paired.cases.collect()}
+    assert rows == {"C1": 'x,\n"y"', "C2": None}
+    assert paired.unpaired.count() == 0
+
+
+def test_headers_cost_one_record_per_file(spark, tmp_path):
+    write(tmp_path, "a.csv", '﻿id,"two\nlines",,id,ID\n' + "1,2,3,4,5\n" * 50_000)
+    write(tmp_path, "b.csv", "")
+    write(tmp_path, "c.csv", "other")
+    found = {r.path.rsplit("/", 1)[1]: r.header for r in exports.scan_headers(exports.list_files(spark, str(tmp_path))).collect()}
+    assert found == {"a.csv": '["id", "two\\nlines", "", "id", "ID"]', "c.csv": '["other"]'}
+    table = exports.read_csv(spark, str(tmp_path), mixed_layouts=True)
+    assert table.columns[:6] == ["id", "two\nlines", "_c2", "id.1", "ID.2", "_corrupt_record"]
+    assert table.count() == 50_000
+    declared = exports.read_csv(spark, f"{tmp_path}/c.csv", header=["other"])
+    assert declared.columns[0] == "other" and declared.count() == 0
+    with pytest.raises(Exception, match="(?i)header"):
+        exports.read_csv(spark, f"{tmp_path}/a.csv", header=["id", "x", "y", "z", "w"]).collect()
+
+
+def test_filters_reach_the_scan_below_the_annotation(spark, tmp_path):
+    from vaporlog.operators.annotate import annotate
+    from vaporlog.plans.case_log import parse_pairs
+
+    path = str(tmp_path / "cases")
+    spark.createDataFrame([("p", "E1", 1), ("q", "E2", 2)], "pair_key string, `Episode ID` string, seq long").write.partitionBy("pair_key").parquet(path)
+    table = spark.read.parquet(path)
+    mapped = columns.map_columns(table, keep=["pair_key", "seq"])
+    log = annotate(mapped, where="pair_key = 'q' AND seq > 1")
+    assert [r.episode_id for r in log.collect()] == ["E2"]
+    plan = plan_of(log)
+    assert "PartitionFilters: [isnotnull(pair_key" in plan and "(pair_key#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert "GreaterThan(seq,1)" in plan
+    plan = plan_of(case_log_from_table(table, where=F.col("pair_key") == "q"))
+    assert "PartitionFilters: [isnotnull(pair_key" in plan
+    lists = table.select("pair_key", F.col("Episode ID").alias("MPOG_Case_ID"), F.lit("LMA").alias("ProcedureName"), F.col("seq").alias("_seq"))
+    result = parse_pairs(lists, lists, where="pair_key = 'p'")
+    for frame in (result.case_log(), result.block_log(), result.neuraxial_log()):
+        scans = plan_of(frame).split("PartitionFilters: ")[1:]
+        assert scans and all(scan.startswith("[isnotnull(pair_key") for scan in scans)
+    assert [r["Case ID"] for r in result.case_log().collect()] == ["E1"]

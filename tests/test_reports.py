@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vaporlog.functions.ranking import bin_sizes, narrow_order, top_per_group, with_chosen
+from vaporlog.functions.ranking import bin_sizes, top_per_group, with_chosen
 from vaporlog.functions.text import display_name, fixed_point
 from vaporlog.operators import curate, hybrid, quality, review
 from vaporlog.operators import queue as Q
@@ -70,10 +70,9 @@ def test_ranks_with_a_hot_group(spark):
     hashed = curate.order_hash(frame, "seq")
     equal = frame.withColumn("_hash", F.lit(7))
     for rows in (hashed, equal, hashed.withColumn("g", F.when(F.col("g") == "hot", "hot")), hashed.limit(0)):
-        narrow = narrow_order(rows, ["g"], "_hash", "seq")
         for limit in (0, 700, 1000) if rows is hashed else (700,):
-            sizes = bin_sizes(narrow, ["g"], "_hash").withColumn("_limit", F.lit(limit))
-            found = with_chosen(rows, narrow, sizes, ["g"], "_hash", "seq").collect()
+            sizes = bin_sizes(rows, ["g"], "_hash").withColumn("_limit", F.lit(limit))
+            found = with_chosen(rows, sizes, ["g"], "_hash", "seq").collect()
             for group in {r.g for r in found}:
                 ranked = sorted((r for r in found if r.g == group), key=lambda r: (r._hash, r.seq))
                 assert [r.chosen for r in ranked] == [i < limit for i in range(len(ranked))]

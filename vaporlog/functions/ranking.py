@@ -36,18 +36,16 @@ def _bin(hash_col: str) -> Column:
     return F.shiftright(F.col(hash_col), 32 - BIN_BITS)
 
 
-def narrow_order(df: DataFrame, groups: list[str], hash_col: str, key: str) -> DataFrame:
-    """Groups, hash and key of all rows, written once: limits are found on these, whole rows are never moved."""
-    return written_once(df.select(*groups, hash_col, key))
-
-
-def with_chosen(df: DataFrame, narrow: DataFrame, sizes: DataFrame, groups: list[str], hash_col: str, key: str) -> DataFrame:
+def with_chosen(df: DataFrame, sizes: DataFrame, groups: list[str], hash_col: str, key: str) -> DataFrame:
     """Add ``chosen``: whether a row is among the first ``_limit`` of its group by a 32-bit hash, then key.
 
+    ``df`` should be a written table: limits are found on its groups, hash and key, and its whole rows are then read once,
+    where they lie, and compared with the limit.
     ``sizes`` has the groups, ``_bin``, ``_n`` (rows) and ``_limit``, the same in a group. Running totals of the 4096 bins of a group
     tell the one bin that holds the limit; only its rows are numbered, and give the last row that is in. The result is one
     small row per group that Spark measures and broadcasts, or joins by shuffle where there are very many groups.
     """
+    narrow = df.select(*groups, hash_col, key)
     before = Window.partitionBy(*groups).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     totals = written_once(sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))))
     edges = totals.filter("_before < _limit AND _limit <= _before + _n")

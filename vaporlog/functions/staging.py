@@ -28,16 +28,24 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written_once(df: DataFrame) -> DataFrame:
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's process ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def written_once(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write an intermediate table that several passes read, and read it back.
 
+    With ``partition_by``, passes that want some values of a column open only their folders.
+
     The expensive columns are computed once, the plan of every pass starts at a narrow
     columnar scan, and a lost executor costs a re-read instead of a re-computation.
     The table is removed when the driver's process ends.
     """
-    path = f"{shared_folder(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    atexit.register(_remove, df.sparkSession, path)
-    df.write.parquet(path)
+    path = new_path(df.sparkSession, "staged")
+    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

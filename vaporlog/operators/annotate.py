@@ -6,7 +6,7 @@ A single narrow stage: no shuffle, no UDF. Columns that are not part of the case
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import computed_once
@@ -36,12 +36,16 @@ def annotate(
     cases: DataFrame,
     default_year: int = S.DEFAULT_YEAR,
     ml_threshold: float | None = None,
+    where: str | Column | None = None,
 ) -> DataFrame:
     """Parse every row of a canonical case table.
 
-    With ``ml_threshold`` the input also has ``ml_category`` and ``ml_confidence``,
+    ``where`` is a condition on the input's columns. It is applied before anything is computed, so the scan below gets
+    it; a filter on the result stays above the annotation. With ``ml_threshold`` the input also has ``ml_category`` and ``ml_confidence``,
     which are combined with the rules.
     """
+    if where is not None:
+        cases = cases.filter(where)
     extra = [c for c in cases.columns if c not in S.COLUMN_MAP and c not in ("ml_category", "ml_confidence")]
     typed = cases.withColumns({
         "raw_date": F.col("date"),
@@ -64,17 +68,3 @@ def annotate(
 def annotate_with_model(cases: DataFrame, threshold: float = T.ML_THRESHOLD) -> DataFrame:
     """Annotate a table that carries model predictions."""
     return annotate(cases, ml_threshold=threshold)
-
-
-def quarantine(raw: DataFrame, corrupt_column: str = "_corrupt_record") -> tuple[DataFrame, DataFrame]:
-    """Split a permissive read into good rows and error records.
-
-    An error record keeps the source text and one warning, with confidence 0.
-    """
-    bad = F.col(corrupt_column).isNotNull()
-    rejects = raw.filter(bad).select(
-        F.col(corrupt_column).alias("source_text"),
-        F.array(F.lit("Failed to process row: malformed record")).alias("parsing_warnings"),
-        F.lit(0.0).alias("confidence_score"),
-    )
-    return raw.filter(~bad).drop(corrupt_column), rejects

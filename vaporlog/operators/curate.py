@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vaporlog.functions.matching import contains_any
-from vaporlog.functions.ranking import bin_sizes, narrow_order, with_chosen
+from vaporlog.functions.ranking import bin_sizes, with_chosen
 from vaporlog.functions.staging import written_once
 from vaporlog.functions.text import clean_text, procedure_key, sha_long, split_lines, strip
 from vaporlog.operators.categorize import categorize
@@ -50,10 +50,9 @@ def order_hash(df: DataFrame, key: str, seed: int = T.SEED) -> DataFrame:
 
 def sample_per_file(rows: DataFrame, n: int, key: str = "seq", file: str = "file", seed: int = T.SEED) -> DataFrame:
     """At most ``n`` random rows of each file."""
-    ordered = order_hash(rows, key, seed)
-    narrow = narrow_order(ordered, [file], "_hash", key)
-    sizes = bin_sizes(narrow, [file], "_hash").withColumn("_limit", F.lit(n))
-    return with_chosen(ordered, narrow, sizes, [file], "_hash", key).filter("chosen").drop("_hash", "chosen")
+    ordered = written_once(order_hash(rows, key, seed))
+    sizes = bin_sizes(ordered, [file], "_hash").withColumn("_limit", F.lit(n))
+    return with_chosen(ordered, sizes, [file], "_hash", key).filter("chosen").drop("_hash", "chosen")
 
 
 def value_tiers(prepared: DataFrame) -> DataFrame:
@@ -71,11 +70,10 @@ def sample_by_value(prepared: DataFrame, size: int = T.TOTAL_SAMPLE, key: str =
 
     Quotas that a tier cannot fill go down to the low tier only.
     """
-    tiered = order_hash(value_tiers(prepared), key, seed)
-    narrow = narrow_order(tiered, ["tier"], "_hash", key)
+    tiered = written_once(order_hash(value_tiers(prepared), key, seed))
     high, medium = int(size * T.HIGH_SHARE), int(size * T.MEDIUM_SHARE)
     # Three tiers of at most 4096 bins: the rest works on a few thousand rows.
-    sizes = bin_sizes(narrow, ["tier"], "_hash")
+    sizes = bin_sizes(tiered, ["tier"], "_hash")
     every = Window.partitionBy()
 
     def filled(tier: str, quota: int) -> Column:
@@ -88,7 +86,7 @@ def sample_by_value(prepared: DataFrame, size: int = T.TOTAL_SAMPLE, key: str =
         .otherwise(F.lit(size) - filled("high", high) - filled("medium", medium))
     )
     sizes = sizes.withColumn("_limit", quota)
-    return with_chosen(tiered, narrow, sizes, ["tier"], "_hash", key).filter("chosen").drop("_hash", "chosen")
+    return with_chosen(tiered, sizes, ["tier"], "_hash", key).filter("chosen").drop("_hash", "chosen")
 
 
 def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rule_category", key: str = "seq",
@@ -96,14 +94,14 @@ def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rul
     """Add ``part``: 'seen' or 'unseen', stratified by label where every class allows it.
 
     Stratified means each class has two rows or more and both parts can hold every class.
-    Class quotas are rounded by largest remainder so that the parts have their exact sizes.
+    Class quotas are rounded by largest remainder so that the parts have their exact sizes. The rows are written
+    once as they come, so what computes them runs once; both passes read that table and move none of its whole rows.
     """
     if not 0.0 < ratio < 1.0:
         raise ValueError(f"unseen ratio must be between 0 and 1, got {ratio}")
-    labeled = order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed)
-    narrow = narrow_order(labeled, [label], "_hash", key)
+    labeled = written_once(order_hash(prepared.withColumn(label, normalize_label(F.col(label))), key, seed))
     # At most 4096 bins per class; the quotas work on these sizes.
-    sizes = bin_sizes(narrow, [label], "_hash")
+    sizes = bin_sizes(labeled, [label], "_hash")
     every = Window.partitionBy()
     quotas = sizes.groupBy(label).agg(F.sum("_n").alias("_rows")).withColumns({
         "_total": F.sum("_rows").over(every),
@@ -132,7 +130,7 @@ def split_seen_unseen(prepared: DataFrame, ratio: float = 0.2, label: str = "rul
     quotas = written_once(quotas)
     per_stratum = sizes.join(quotas, label).groupBy("_stratum", "_bin").agg(F.sum("_n").alias("_n"), F.first("_limit").alias("_limit"))
     strata = quotas.select(label, "_stratum")
-    chosen = with_chosen(labeled.join(strata, label), narrow.join(strata, label), per_stratum, ["_stratum"], "_hash", key)
+    chosen = with_chosen(labeled.join(strata, label), per_stratum, ["_stratum"], "_hash", key)
     return chosen.withColumn("part", F.when(F.col("chosen"), "unseen").otherwise("seen")).select(*prepared.columns, "part")
 
 

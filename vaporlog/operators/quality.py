@@ -126,16 +126,72 @@ def first_problems(cases: DataFrame, n: int = 20, seq: str = "seq") -> DataFrame
     return problems.orderBy(seq).limit(n).withColumn("more", F.greatest(total - n, F.lit(0)))
 
 
+#: Columns of a parsed case that the report needs.
+REPORTED = ("episode_id", "responsible_provider", "procedure", "age_category", "parsing_warnings", "confidence_score", *FAMILIES.values())
+
+
+def report_counts(cases: DataFrame) -> DataFrame:
+    """All counts of the report from one pass: ``section``, ``key``, ``value``, ``hits``, ``cases`` and ``score``.
+
+    A case gives a row for each thing that is counted, with 1 or 0 hits; tasks add them up before they are shuffled.
+    A row of no case at all keeps the fixed keys in the report of an empty table.
+    """
+    def tag(section: str, key, hits="1", value="''") -> str:
+        return f"named_struct('section', '{section}', 'key', {key}, 'value', {value}, 'hits', CAST({hits} AS INT))"
+
+    fixed = [
+        tag("summary", "'total_cases'"),
+        tag("summary", "'cases_with_warnings'", "size(parsing_warnings) > 0"),
+        tag("summary", "'low_confidence_cases'", f"coalesce(confidence_score < {LOW_CONFIDENCE}D, false)"),
+        *[tag("missing_fields", f"'{'provider' if name == 'responsible_provider' else name}'", f"coalesce({name} = '', true)") for name in MISSING],
+        *[tag("extraction_rate", f"'{family}'", f"coalesce(size({column}) > 0, false)") for family, column in FAMILIES.items()],
+    ]
+    listed = [f"transform(coalesce(parsing_warnings, array()), w -> {tag('warning_types', 'w')})"]
+    listed += [
+        f"transform(coalesce({column}, array()), v -> {tag('extraction_values', repr(family), value='v')})" for family, column in FAMILIES.items()
+    ]
+    tags = F.expr(f"concat(array({', '.join(fixed)}), {', '.join(listed)})")
+    rows = cases.select(F.explode(tags).alias("t"), "confidence_score").select("t.*", F.lit(1).alias("cases"), "confidence_score")
+    keys = [("summary", key) for key in ("total_cases", "cases_with_warnings", "low_confidence_cases")]
+    keys += [("missing_fields", "provider" if name == "responsible_provider" else name) for name in MISSING]
+    keys += [("extraction_rate", family) for family in FAMILIES]
+    empty = cases.sparkSession.createDataFrame(
+        [(section, key, "", 0, 0, None) for section, key in keys], "section string, key string, value string, hits int, cases int, confidence_score double"
+    )
+    return rows.unionByName(empty).groupBy("section", "key", "value").agg(
+        F.sum("hits").alias("hits"), F.sum("cases").alias("cases"), F.avg("confidence_score").alias("score")
+    )
+
+
 def report_rows(cases: DataFrame) -> DataFrame:
     """The validation report as JSON rows: ``section``, ``payload``.
 
-    Counts are one row each; problematic cases stay one row per case, so the report of any
-    number of cases is written by many tasks.
+    The cases are read once: the few columns that the report needs are written, and all counts come from one aggregate
+    over them. Counts are one row each; problematic cases stay one row per case, so the report of any number of
+    cases is written by many tasks.
     """
-    def section(name: str, frame: DataFrame) -> DataFrame:
-        return frame.select(F.lit(name).alias("section"), F.to_json(F.struct("*")).alias("payload"))
-
-    problems = with_missing_fields(problematic_cases(cases)).select(
+    narrow = written_once(cases.select(*REPORTED))
+    counts = written_once(report_counts(narrow))
+
+    def payload(*fields) -> Column:
+        return F.to_json(F.struct(*fields))
+
+    hits, key = F.col("hits"), F.col("key")
+    rate = F.coalesce(F.bround(F.try_divide("hits", "cases"), 3), F.lit(0.0))
+    shapes = {
+        "warning_types": payload(key.alias("warning"), hits.alias("occurrences")),
+        "missing_fields": payload(key.alias("field"), hits.alias("missing")),
+        "extraction_rate": payload(key.alias("family"), hits.alias("cases"), rate.alias("rate")),
+        "extraction_values": payload(key.alias("family"), "value", hits.alias("occurrences")),
+    }
+    shaped = F.lit(None).cast("string")
+    for name, shape in shapes.items():
+        shaped = F.when(F.col("section") == name, shape).otherwise(shaped)
+    single = counts.filter("section <> 'summary'").select("section", shaped.alias("payload"))
+    totals = [F.max(F.when(key == name, hits)).alias(name) for name in ("total_cases", "cases_with_warnings", "low_confidence_cases")]
+    mean = F.max(F.when(key == "total_cases", F.col("score")))
+    whole = counts.filter("section = 'summary'").agg(*totals, F.coalesce(F.bround(mean, 3), F.lit(0.0)).alias("average_confidence"))
+    problems = with_missing_fields(problematic_cases(narrow)).select(
         F.col("episode_id").alias("case_id"),
         (F.size("parsing_warnings") > 0).alias("has_warnings"),
         F.size("parsing_warnings").alias("warning_count"),
@@ -144,20 +200,9 @@ def report_rows(cases: DataFrame) -> DataFrame:
         (F.col("confidence_score") < LOW_CONFIDENCE).alias("is_low_confidence"),
         "missing_fields",
     )
-    sections = {
-        "summary": summary(cases),
-        "warning_types": cases.select(F.explode("parsing_warnings").alias("warning")).groupBy("warning").agg(
-            F.count(F.lit(1)).alias("occurrences")
-        ),
-        "missing_fields": missing_field_counts(cases),
-        "problematic_cases": problems,
-        "extraction_rate": extraction_rates(cases),
-        "extraction_values": extraction_values(cases),
-    }
-    frames = [section(name, frame) for name, frame in sections.items()]
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame)
+    united = single
+    for name, frame in (("summary", whole), ("problematic_cases", problems)):
+        united = united.unionByName(frame.select(F.lit(name).alias("section"), payload("*").alias("payload")))
     return united
 
 

@@ -125,6 +125,7 @@ def key_of(text: str) -> str:
 
 CTES: dict[str, tuple[str, ...] | str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
+_BODIES: dict[str, str] = {}
 
 
 def cte(name: str, body: str, *needs: str) -> None:
@@ -148,6 +149,7 @@ def register(name: str, sql: str, *needs: str) -> None:
 
     for need in needs:
         visit(need)
+    _BODIES[name] = sql
     heads = ",\n".join(f"{n} AS MATERIALIZED ({CTES[n]})" for n in ordered)
     ORACLE[name] = f"WITH {heads}\n{sql}" if heads else sql
 
@@ -808,3 +810,43 @@ for _version, _service in ((2, clean("service_text")), (1, "''")):
         FROM training_rows""", "training_rows")
     annotation(f"{_source}_in", _source)
     register("m3_structured_features" + ("" if _version == 2 else "_v1"), f"SELECT seq, {feature_columns(_version)} FROM {_source}_8", f"{_source}_8")
+
+# --- written files ------------------------------------------------------------------
+
+register("s2_scanned_case_tables", """SELECT pair_key, case_id AS "MPOG_Case_ID", nullif(asa_status, '') AS "ASA_Status", NULL AS "Emergency", NULL AS "Details"
+    FROM case_list UNION ALL SELECT pair_key, case_id, NULL, nullif(emergency, ''), nullif(details, '') FROM proc_list""", "case_list", "proc_list")
+_RESIDENT = """upper(substr(split_part(pair_key, '_', 2), 1, 1)) || lower(substr(split_part(pair_key, '_', 2), 2)) || ' ' ||
+    upper(substr(split_part(pair_key, '_', 1), 1, 1)) || lower(substr(split_part(pair_key, '_', 1), 2))"""
+register("s7_written_case_logs", f"SELECT {_RESIDENT} AS resident, {CASE_LOG} FROM parsed_pairs", "parsed_pairs")
+register("s8_format_metadata", f"""SELECT count(*) AS rows, count(DISTINCT {_RESIDENT}) AS residents, {q(S.FORMAT_VERSIONS['standalone'])} AS version,
+    'standalone' AS format_type FROM pair_orphans""", "pair_orphans")
+register("s9_saved_training_rows", "SELECT seq, rule_category, warnings FROM prepared", "prepared")
+_LINE = " || ',' || ".join(
+    f"CASE WHEN {c} IS NULL THEN '' ELSE '\"' || {c} || '\"' END"
+    for c in ("case_id", "scheduled_dt", "patient_age", "asa_status", "procedure_text", "attendings"))
+register("p24_quarantined_rows", f"""SELECT pair_key, CASE WHEN seq % 50 NOT IN (0, 20) THEN case_id END AS case_id,
+    CASE seq % 50 WHEN 0 THEN {_LINE} || ',"two cells",more' WHEN 20 THEN case_id || ',"left open' WHEN 10 THEN 'short' ELSE nullif(scheduled_dt, '') END AS text,
+    CASE WHEN seq % 50 IN (0, 20) THEN 'Failed to process row: malformed record' ELSE '' END AS warning FROM case_list""", "case_list")
+_NONE = {
+    "section": "NULL", "name": "NULL", "value": "NULL", "n": "CAST(NULL AS BIGINT)", "cases_with_warnings": "CAST(NULL AS BIGINT)",
+    "low_confidence_cases": "CAST(NULL AS BIGINT)", "has_warnings": "CAST(NULL AS BOOLEAN)", "is_low_confidence": "CAST(NULL AS BOOLEAN)",
+    "score": "CAST(NULL AS DOUBLE)", "warnings": "NULL", "missing_fields": "NULL",
+}
+
+
+def _section(section: str, source: str, **fields: str) -> str:
+    columns = {**_NONE, "section": q(section), **fields}
+    return "SELECT " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f" FROM ({source})"
+
+
+register("a7_json_report", "\nUNION ALL ".join([
+    _section("summary", _BODIES["a1_validation_summary"], n="total_cases", cases_with_warnings="cases_with_warnings",
+             low_confidence_cases="low_confidence_cases", score="average_confidence"),
+    _section("warning_types", HIST, name="warning", n="occurrences"),
+    _section("missing_fields", _BODIES["a3_missing_field_counts"], name="field", n="missing"),
+    _section("extraction_rate", _BODIES["a4_extraction_rates"], name="family", n="cases", score="rate"),
+    _section("extraction_values", _BODIES["a5_extraction_values"], name="family", value="value", n="occurrences"),
+    _section("problematic_cases", f"SELECT * FROM parsed WHERE {PROBLEM}", name="short_id", n="CAST(len(warnings) AS BIGINT)", has_warnings="len(warnings) > 0",
+             is_low_confidence="case_confidence < 0.7", score="round(case_confidence, 6)", warnings="array_to_string(warnings, ' | ')",
+             missing_fields=f"array_to_string({MISSING}, ', ')"),
+]), "parsed")

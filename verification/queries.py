@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaporlog.functions import text as X
+from vaporlog.functions.staging import new_path
 from vaporlog.operators import basics, blocks, categorize, curate, features, findings, hybrid, joins, models, project, quality
 from vaporlog.operators import queue as Q
 from vaporlog.operators import review as R
@@ -14,7 +16,7 @@ from vaporlog.operators.annotate import annotate
 from vaporlog.plans import training as plans
 from vaporlog.plans.case_log import parse_pairs
 from vaporlog.rules import schema as S
-from vaporlog.sources import columns, exports
+from vaporlog.sources import columns, exports, sinks
 from verification.views import view
 
 QUERIES = {}
@@ -100,9 +102,29 @@ def assessed(spark, sf):
 # --- sources ------------------------------------------------------------------------
 
 
+def new_folder(spark):
+    """A folder of the shared one for the files of one query; removed with the driver."""
+    return new_path(spark, "query")
+
+
+def csv_writer(rows):
+    """Cells are written as they are, with doubled quotes."""
+    writer = rows.write.option("header", True).option("escape", '"')
+    return writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+
+
+def written_lists(spark, sf):
+    """Both lists as CSV exports, a folder of part files for each list of a pair."""
+    folder = new_folder(spark)
+    for rows, suffix in ((case_list(spark, sf), exports.CASE_SUFFIX), (proc_list(spark, sf), exports.PROCEDURE_SUFFIX)):
+        named = rows.withColumn("export", F.concat("pair_key", F.lit(f".{suffix}.csv"))).drop("pair_key", "_seq")
+        csv_writer(named.hint("rebalance", "export")).mode("append").partitionBy("export").csv(folder)
+    return folder
+
+
 @query
 def s1_paired_exports(spark, sf):
-    lists = exports.pair_up(case_list(spark, sf), proc_list(spark, sf))
+    lists = exports.scan_pairs(spark, written_lists(spark, sf))
     kept = lists.cases.groupBy("pair_key").agg(F.count(F.lit(1)).alias("case_rows"))
     procs = lists.procedures.groupBy("pair_key").agg(F.count(F.lit(1)).alias("procedure_rows"))
     return kept.join(procs, "pair_key")
@@ -110,7 +132,7 @@ def s1_paired_exports(spark, sf):
 
 @query
 def s1_unpaired_exports(spark, sf):
-    return exports.pair_up(case_list(spark, sf), proc_list(spark, sf)).unpaired
+    return exports.scan_pairs(spark, written_lists(spark, sf)).unpaired
 
 
 @query
@@ -120,6 +142,76 @@ def s2_united_case_tables(spark, sf):
     return first.unionByName(second, allowMissingColumns=True)
 
 
+@query
+def s2_scanned_case_tables(spark, sf):
+    """Case tables of two layouts written as CSV and read by name."""
+    folder = new_folder(spark)
+    csv_writer(case_list(spark, sf).select("pair_key", "MPOG_Case_ID", "ASA_Status")).csv(f"{folder}/first")
+    csv_writer(proc_list(spark, sf).select("Emergency", "MPOG_Case_ID", "pair_key", "Details")).csv(f"{folder}/second")
+    return exports.scan_case_tables(spark, f"{folder}/*").select("pair_key", "MPOG_Case_ID", "ASA_Status", "Emergency", "Details")
+
+
+@query
+def s7_written_case_logs(spark, sf):
+    """The case log written by resident, with its format beside it, and read back."""
+    folder = new_folder(spark)
+    named = project.resident_names(paired(spark, sf).case_log()).drop("pair_key", "resident_id")
+    sinks.write_with_metadata(named, folder, "caselog")
+    return spark.read.parquet(f"{folder}/data").select("resident", *S.CASE_LOG_COLUMNS)
+
+
+@query
+def s8_format_metadata(spark, sf):
+    """Rows and residents of a written standalone log, with the version and layout that its metadata names."""
+    folder = new_folder(spark)
+    named = project.resident_names(paired(spark, sf).standalone.select("pair_key", "episode_id", "procedure_category"))
+    sinks.write_with_metadata(named.drop("pair_key", "resident_id"), folder, "standalone")
+    meta = spark.read.json(f"{folder}/meta").filter("key <> 'generated'")
+    meta = meta.agg(*[F.max(F.when(F.col("key") == key, F.col("value"))).alias(key) for key in ("version", "format_type")])
+    named = meta.first()
+    log = spark.read.parquet(f"{folder}/data")
+    return log.agg(
+        F.count(F.lit(1)).alias("rows"), F.countDistinct("resident").alias("residents"),
+        F.lit(named["version"]).alias("version"), F.lit(named["format_type"]).alias("format_type"),
+    )
+
+
+@query
+def s9_saved_training_rows(spark, sf):
+    """Prepared rows written once, refused a second time, replaced by force, and read back."""
+    folder = f"{new_folder(spark)}/prepared"
+    rows = prepared(spark, sf).select("seq", "rule_category", "warnings")
+    sinks.save_table(rows, folder)
+    try:
+        sinks.save_table(rows, folder)
+    except AnalysisException:
+        return sinks.save_table(rows, folder, force=True)
+    raise ValueError("a table was replaced without force")
+
+
+@query
+def p24_quarantined_rows(spark, sf):
+    """Case lists with damaged lines, written as text and scanned: good rows by id, rejected ones by their text."""
+    cells = ("MPOG_Case_ID", "AIMS_Scheduled_DT", "AIMS_Patient_Age_Years", "ASA_Status", "AIMS_Actual_Procedure_Text", "AnesAttendings")
+    whole = F.concat_ws(",", *[F.when(F.col(c).isNull(), "").otherwise(F.concat(F.lit('"'), F.col(c), F.lit('"'))) for c in cells])
+    kind = F.col("_seq") % 50
+    line = (
+        F.when(kind == 0, F.concat(whole, F.lit(',"two cells",more')))
+        .when(kind == 20, F.concat("MPOG_Case_ID", F.lit(',"left open')))
+        .when(kind == 10, F.concat_ws(",", "MPOG_Case_ID", F.lit("short")))
+        .otherwise(whole)
+    )
+    folder = new_folder(spark)
+    lines = case_list(spark, sf).select(F.concat("pair_key", F.lit(".CaseList.csv")).alias("export"), line.alias(",".join(cells)))
+    raw_text = lines.write.option("header", True).option("sep", "\u0001").option("quote", "\u0002").option("ignoreTrailingWhiteSpace", False)
+    raw_text.partitionBy("export").csv(folder)
+    scanned = exports.read_csv(spark, f"{folder}/*.CaseList.csv", multi_line=False)
+    good, rejects = exports.quarantine(scanned.withColumn("pair_key", exports.pair_key(F.col("_file"), exports.CASE_SUFFIX)))
+    return good.select("pair_key", F.col("MPOG_Case_ID").alias("case_id"), F.col("AIMS_Scheduled_DT").alias("text"), F.lit("").alias("warning")).unionByName(
+        rejects.select("pair_key", F.lit(None).cast("string").alias("case_id"), F.col("source_text").alias("text"), F.array_join("parsing_warnings", "; ").alias("warning"))
+    )
+
+
 @query
 def s3_mapped_columns(spark, sf):
     export = case_list(spark, sf)
@@ -522,7 +614,19 @@ def a6_validation_table(spark, sf):
 
 @query
 def a7_json_report(spark, sf):
-    return quality.report_rows(parsed(spark, sf))
+    """The report's payloads read as JSON again."""
+    numbers = ("total_cases", "cases_with_warnings", "low_confidence_cases", "occurrences", "missing", "cases", "warning_count")
+    shape = "average_confidence double, rate double, confidence_score double, is_low_confidence boolean, has_warnings boolean, "
+    shape += ", ".join(f"{name} long" for name in numbers) + ", warning string, field string, family string, value string, case_id string, "
+    shape += "warnings array<string>, missing_fields array<string>"
+    read = quality.report_rows(parsed(spark, sf)).select("section", F.from_json("payload", shape).alias("x"))
+    return read.select(
+        "section", F.coalesce("x.warning", "x.field", "x.family", "x.case_id").alias("name"), "x.value",
+        F.coalesce("x.total_cases", "x.occurrences", "x.missing", "x.cases", "x.warning_count").alias("n"),
+        "x.cases_with_warnings", "x.low_confidence_cases", "x.has_warnings", "x.is_low_confidence",
+        F.round(F.coalesce("x.average_confidence", "x.rate", "x.confidence_score"), 6).alias("score"),
+        F.array_join("x.warnings", " | ").alias("warnings"), F.array_join("x.missing_fields", ", ").alias("missing_fields"),
+    )
 
 
 @query
