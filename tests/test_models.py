@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import shared_folder
 from vaporlog.operators import curate, features, models
-from vaporlog.plans.training import retrain_pipeline, train_pipeline
+from vaporlog.plans.case_log import build_case_logs, case_log_from_table
+from vaporlog.plans.review_set import build_review_set
+from vaporlog.plans.training import evaluate_files, retrain_pipeline, train_from_files, train_pipeline, training_rows
+from vaporlog.rules import procedures as P
+from vaporlog.sources import columns
 
 QUICK = models.TrainConfig(max_iter=20, trees=3, depth=4)
 
@@ -74,3 +78,70 @@ def test_written_tables_need_a_shared_folder(spark):
     unset = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(unset)
+
+
+HEADERS = "MPOG_Case_ID,AIMS_Scheduled_DT,AIMS_Patient_Age_Years,ASA_Status,AIMS_Actual_Procedure_Text,AnesAttendings"
+
+
+def test_csv_folder_to_fused_case_log(spark, tmp_path):
+    """From files to a model, from the model to case logs whose categories are fused."""
+    folder = tmp_path / "cases"
+    folder.mkdir()
+    texts = ["CABG with bypass", "VATS lobectomy", "Cesarean delivery", "Knee arthroscopy"]
+    for k in range(2):
+        lines = [f"{k}-{i},2025-01-0{1 + i % 9},45,2,{texts[i % 4]} {i}," for i in range(60)]
+        (folder / f"P{k}.CaseList.csv").write_text("\n".join([HEADERS, *lines, "bad,2025-01-01,1,2,Knee,,too,many"]) + "\n")
+    # a layout of its own: services under another name, the text column under its short one, empty and missing texts
+    (folder / "extra.csv").write_text('procedure,Service\nVATS lobectomy,"THORACIC\nENT"\n,ORTHO\nNA,ORTHO\n')
+    model, evaluation = train_from_files(spark, str(folder), str(tmp_path / "run"), sample_per_file=50, size=80, config=QUICK)
+    stats = {r.file: tuple(r)[1:] for r in spark.read.parquet(str(tmp_path / "run/file_stats")).collect()}
+    assert stats == {"P0.CaseList.csv": (60, 60, 0), "P1.CaseList.csv": (60, 60, 0), "extra.csv": (3, 1, 2)}
+    assert spark.read.parquet(str(tmp_path / "run/rejects")).count() == 2
+    prepared = spark.read.parquet(str(tmp_path / "run/prepared"))
+    assert prepared.groupBy("file").count().agg(F.max("count")).first()[0] <= 50 and prepared.count() <= 80
+    assert spark.read.parquet(str(tmp_path / "run/distribution")).agg(F.sum("rows")).first()[0] == prepared.count()
+    assert evaluation.accuracy.first().rule_accuracy == 1.0
+
+    rows, _ = training_rows(spark, str(folder))
+    assert {r.service_text for r in rows.filter("file = 'extra.csv'").collect()} == {"THORACIC\nENT", "ORTHO"}
+
+    # a model that calls every text vaginal delivery and is sure of it overrides the rules everywhere
+    sure = SimpleNamespace(score=lambda frame: frame.withColumns({"ml_category": F.lit(P.VAGINAL_DELIVERY), "ml_confidence": F.lit(0.9)}))
+    (folder / "P0.ProcedureList.csv").write_text("MPOG_Case_ID,ProcedureName,Comment,Details\n0-1,LMA,,\nno case,Labor Epidural,,\n")
+    for fitted, threshold, categories in ((model, 0.0, None), (sure, 0.95, {P.VAGINAL_DELIVERY})):
+        out = str(tmp_path / f"log{threshold}{categories is None}")
+        result = build_case_logs(spark, str(folder), out, model=fitted, threshold=threshold)
+        log = spark.read.parquet(f"{out}/case_log/data")
+        found = {r["Case ID"]: r["Procedure Category"] for r in log.collect()}
+        assert len(found) == 60
+        if categories:
+            assert set(found.values()) == categories
+            assert result.standalone.select("procedure_category").distinct().first()[0] == P.VAGINAL_DELIVERY
+        else:
+            table = columns.map_columns(spark.read.option("header", True).csv(f"{folder}/P0.CaseList.csv").select(
+                F.col("MPOG_Case_ID").alias("Episode ID"), F.col("AIMS_Actual_Procedure_Text").alias("Procedure")).filter("`Episode ID` <> 'bad'"))
+            rows = table.select(F.col("episode_id").alias("seq"), "procedure", F.lit("").alias("service_text"))
+            want = {r.seq: r.ml_category for r in model.score(rows).collect()}
+            assert found == want  # from threshold 0 on every known answer of the model counts
+    table = spark.createDataFrame([("1", "Knee arthroscopy", "x", 1)], "`Episode ID` string, Procedure string, text string, features int")
+    assert case_log_from_table(table, model=sure).first()["Procedure Category"] == P.VAGINAL_DELIVERY
+    assert case_log_from_table(table).first()["Procedure Category"] == P.OTHER
+    parsed = result.cases.withColumn("_x", F.lit(1))
+    assert build_review_set(parsed, max_cases=5).count() <= 5
+
+
+def test_evaluation_finds_its_label_column(spark, tmp_path):
+    rows = spark.range(40).select(F.col("id").alias("seq"), F.lit("").alias("service_text"), F.when(F.col("id") % 2 == 0, "CABG").otherwise("Cesarean delivery").alias("procedure"))
+    model, _ = train_pipeline(rows, str(tmp_path / "run"), size=40, config=QUICK)
+    (tmp_path / "a.csv").write_text("procedure,label,human_category\nCesarean delivery,x,ProcedureCategory.CESAREAN\nCABG,x,NA\nCABG,x,Other (procedure cat)\n")
+    found = evaluate_files(spark, model, f"{tmp_path}/a.csv").accuracy.first()
+    assert (found.labeled_cases, found.rule_accuracy) == (2, 0.5)  # human_category comes first
+    assert evaluate_files(spark, model, f"{tmp_path}/a.csv", label="label").accuracy.first().rule_accuracy == 0.0
+    with pytest.raises(ValueError, match="Label column not found"):
+        evaluate_files(spark, model, f"{tmp_path}/a.csv", label="truth")
+    (tmp_path / "b.csv").write_text("procedure\nCABG\n")
+    plain = evaluate_files(spark, model, f"{tmp_path}/b.csv")
+    assert plain.accuracy is None and plain.bins.first().total_cases == 1
+    (tmp_path / "c.csv").write_text("id\n1\n")
+    with pytest.raises(ValueError, match="No procedure column"):
+        evaluate_files(spark, model, f"{tmp_path}/c.csv")

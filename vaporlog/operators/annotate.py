@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from vaporlog.functions.staging import computed_once
 from vaporlog.functions.text import provider_name, split_lines
 from vaporlog.operators import basics, blocks, categorize, findings, hybrid
+from vaporlog.operators.models import ProcedureModel
 from vaporlog.rules import schema as S
 from vaporlog.rules import training as T
 
@@ -65,6 +66,15 @@ def annotate(
     return computed_once(assemble_warnings(sited).select(*extra, *CASE_FIELDS))
 
 
-def annotate_with_model(cases: DataFrame, threshold: float = T.ML_THRESHOLD) -> DataFrame:
-    """Annotate a table that carries model predictions."""
-    return annotate(cases, ml_threshold=threshold)
+def annotate_with_model(cases: DataFrame, model: ProcedureModel, threshold: float = T.ML_THRESHOLD,
+                        default_year: int = S.DEFAULT_YEAR, where: str | Column | None = None) -> DataFrame:
+    """Parse every row of a canonical case table, with categories decided by rules and a fitted model together.
+
+    Scoring is a part of the same narrow stage. The table's columns are packed meanwhile, so that their names cannot
+    meet those of features.
+    """
+    if where is not None:
+        cases = cases.filter(where)
+    packed = cases.select("procedure", F.col("services").alias("service_text"), F.struct("*").alias("_kept"))
+    scored = model.score(packed).select("_kept.*", "ml_category", "ml_confidence")
+    return annotate(computed_once(scored), default_year, ml_threshold=threshold)

@@ -9,20 +9,28 @@ from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import written_once
 from vaporlog.operators import joins, project, quality
-from vaporlog.operators.annotate import annotate
+from vaporlog.operators.annotate import annotate, annotate_with_model
 from vaporlog.operators.blocks import route_standalone
+from vaporlog.operators.models import ProcedureModel
 from vaporlog.rules import schema as S
+from vaporlog.rules import training as T
 from vaporlog.sources import columns, exports, sinks
 
 
 def case_log_from_table(table: DataFrame, overrides: dict[str, str] | None = None,
-                        default_year: int = S.DEFAULT_YEAR, where: str | Column | None = None) -> DataFrame:
+                        default_year: int = S.DEFAULT_YEAR, where: str | Column | None = None,
+                        model: ProcedureModel | None = None, threshold: float = T.ML_THRESHOLD) -> DataFrame:
     """One case table to its case log: a narrow plan without any shuffle.
 
-    ``where`` is a condition on the table's own columns; it goes to the scan.
+    ``where`` is a condition on the table's own columns; it goes to the scan. A ``model`` decides categories
+    together with the rules.
     """
     chosen = table if where is None else table.filter(where)
-    return project.case_log(annotate(columns.map_columns(chosen, overrides), default_year))
+    return project.case_log(_annotated(columns.map_columns(chosen, overrides), default_year, model, threshold))
+
+
+def _annotated(cases: DataFrame, default_year: int, model: ProcedureModel | None, threshold: float) -> DataFrame:
+    return annotate(cases, default_year) if model is None else annotate_with_model(cases, model, threshold, default_year)
 
 
 @dataclass
@@ -53,11 +61,13 @@ class PairedResult:
 
 
 def parse_pairs(cases: DataFrame, procedures: DataFrame, default_year: int = S.DEFAULT_YEAR,
-                seq: str = "_seq", where: str | Column | None = None) -> PairedResult:
+                seq: str = "_seq", where: str | Column | None = None, model: ProcedureModel | None = None,
+                threshold: float = T.ML_THRESHOLD) -> PairedResult:
     """Join, normalize and annotate paired lists: all pairs in one job.
 
     ``cases`` and ``procedures`` have the export columns plus ``pair_key`` and ``seq``. ``where`` is a condition on
-    columns that both have, such as the pair: it goes to the scans of both, below joins and annotation.
+    columns that both have, such as the pair: it goes to the scans of both, below joins and annotation. A ``model``
+    decides the categories of cases and of standalone procedures together with the rules.
     """
     if where is not None:
         cases, procedures = cases.filter(where), procedures.filter(where)
@@ -65,8 +75,8 @@ def parse_pairs(cases: DataFrame, procedures: DataFrame, default_year: int = S.D
     orphans = joins.orphan_procedures(cases, procedures)
     keep = ["pair_key", F.col(seq).alias("seq")]
     return PairedResult(
-        annotate(columns.normalize_cases(joined, keep=keep), default_year),
-        route_standalone(annotate(columns.normalize_orphans(orphans, keep=keep), default_year)),
+        _annotated(columns.normalize_cases(joined, keep=keep), default_year, model, threshold),
+        route_standalone(_annotated(columns.normalize_orphans(orphans, keep=keep), default_year, model, threshold)),
         case_keys=cases.select("pair_key"),
         standalone_keys=orphans.select("pair_key"),
     )
@@ -74,7 +84,8 @@ def parse_pairs(cases: DataFrame, procedures: DataFrame, default_year: int = S.D
 
 def build_case_logs(spark: SparkSession, case_dir: str, output: str, procedure_dir: str | None = None,
                     default_year: int = S.DEFAULT_YEAR, force: bool = False, where: str | None = None,
-                    mixed_layouts: bool = False, multi_line: bool = True) -> PairedResult:
+                    mixed_layouts: bool = False, multi_line: bool = True, model: ProcedureModel | None = None,
+                    threshold: float = T.ML_THRESHOLD) -> PairedResult:
     """Scan paired exports; write the case log, both standalone logs and the rejected rows.
 
     Every export is parsed once and kept as columns, which the passes below share. Cases are annotated in the job
@@ -88,7 +99,7 @@ def build_case_logs(spark: SparkSession, case_dir: str, output: str, procedure_d
     rejects = bad_cases.withColumn("found_in", F.lit(exports.CASE_SUFFIX)).unionByName(
         bad_procedures.withColumn("found_in", F.lit(exports.PROCEDURE_SUFFIX))
     )
-    parsed = parse_pairs(cases, procedures, default_year)
+    parsed = parse_pairs(cases, procedures, default_year, model=model, threshold=threshold)
     mode = "overwrite" if force else "errorifexists"
     _write_log(parsed.case_log(), f"{output}/case_log", "caselog", force)
     both = written_once(project.standalone_log(parsed.standalone, keep=["pair_key", "route"]), "route")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import written_once
 from vaporlog.operators import curate, hybrid, models
 from vaporlog.operators import queue as review_queue
 from vaporlog.rules import training as T
+from vaporlog.sources import columns, exports
 from vaporlog.sources.sinks import save_table
 
 
@@ -44,6 +45,55 @@ def evaluate(model: models.ProcedureModel, rows: DataFrame, label: str | None =
     )
 
 
+def training_rows(spark: SparkSession, path: str, label: str | None = None, multi_line: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Rows of all CSV files of a folder, each read by the names of its own header, and the rejected ones.
+
+    ``seq`` (file and place as text), ``file``, `columns.training_columns`. Files whose header has no procedure column
+    fail the scan.
+    """
+    good, bad = [], []
+    for layout in exports.read_layouts(spark, path, multi_line):
+        rows, rejects = exports.quarantine(layout)
+        place = F.col("_seq")
+        seq = F.concat_ws("|", place["path"], F.lpad(place["block"].cast("string"), 16, "0"), F.lpad(place["row"].cast("string"), 20, "0"))
+        keep = [seq.alias("seq"), F.substring_index("_file", "/", -1).alias("file")]
+        good.append(columns.training_columns(rows, label, keep))
+        bad.append(rejects)
+    united, rejected = good[0], bad[0]
+    for rows, rejects in zip(good[1:], bad[1:], strict=True):
+        united, rejected = united.unionByName(rows), rejected.unionByName(rejects)
+    return united, rejected
+
+
+def evaluate_files(spark: SparkSession, model: models.ProcedureModel, path: str, label: str | None = None,
+                   threshold: float = T.ML_THRESHOLD) -> Evaluation:
+    """Evaluate a model on CSV files, with the labels of the requested column or of the first known one, if any."""
+    rows, _ = training_rows(spark, path, label)
+    rows = written_once(rows)
+    labeled = not rows.filter("label IS NOT NULL").isEmpty()
+    return evaluate(model, rows, label="label" if labeled else None, threshold=threshold)
+
+
+def train_from_files(spark: SparkSession, path: str, output: str, sample_per_file: int | None = None,
+                     size: int = T.TOTAL_SAMPLE, ratio: float = 0.2, force: bool = False,
+                     config: models.TrainConfig | None = None, folds: int = 0) -> tuple[models.ProcedureModel, Evaluation]:
+    """A folder of CSV files to a saved model and its evaluation.
+
+    The files are parsed once. Beside the tables of `train_pipeline`, ``output`` gets ``file_stats`` (rows of each
+    file), ``distribution`` (categories of the prepared rows) and ``rejects`` (malformed rows).
+    """
+    rows, rejects = training_rows(spark, path)
+    save_table(rejects, f"{output}/rejects", force)
+    rows = written_once(rows)
+    save_table(curate.file_stats(rows), f"{output}/file_stats", force)
+    if sample_per_file is not None:
+        rows = curate.sample_per_file(rows, sample_per_file)
+    model, evaluation = train_pipeline(rows, output, size, ratio, force, config, folds)
+    prepared = spark.read.parquet(f"{output}/prepared")
+    save_table(curate.category_distribution(prepared), f"{output}/distribution", force)
+    return model, evaluation
+
+
 def train_pipeline(rows: DataFrame, output: str, size: int = T.TOTAL_SAMPLE, ratio: float = 0.2, force: bool = False,
                    config: models.TrainConfig | None = None, folds: int = 0) -> tuple[models.ProcedureModel, Evaluation]:
     """Raw rows to a saved model and its evaluation on unseen rows.

@@ -125,6 +125,7 @@ LABEL_MISSING = ("", "<na>", "nan", "none")
 
 SERVICE_CANDIDATES = ("service_text", "services", "service", "Service", "Services")
 PROCEDURE_CANDIDATES = ("AIMS_Actual_Procedure_Text", "procedure")
+TRAINING_COLUMNS = {"age": "AIMS_Patient_Age_Years", "asa": "ASA_Status", "emergency": "Emergency"}
 LABEL_CANDIDATES = (
     "human_category",
     "category",

@@ -96,6 +96,23 @@ def label_column(df: DataFrame, requested: str | None = None) -> str | None:
     return next((name for name in S.LABEL_CANDIDATES if name in df.columns), None)
 
 
+def training_columns(df: DataFrame, label: str | None = None, keep=()) -> DataFrame:
+    """What training and evaluation read of a table of one layout, by the names that this layout has.
+
+    ``procedure``, ``service_text``, ``age``, ``asa``, ``emergency`` and ``label``; what the layout lacks is null. A
+    requested label that the layout lacks is an error.
+    """
+    given = label_column(df, label)
+    found = {
+        "procedure": procedure_column(df),
+        "service_text": service_column(df),
+        **S.TRAINING_COLUMNS,
+    }
+    named = [_column_or_null(df, physical or "").alias(logical) for logical, physical in found.items()]
+    truth = F.lit(None).cast("string") if given is None else F.col(f"`{given}`").cast("string")
+    return df.select(*keep, *named, truth.alias("label"))
+
+
 def coalesce_services(df: DataFrame, into: str = "service_text") -> DataFrame:
     """Per row, the first service alias that is not missing; else the empty text."""
     present = [name for name in S.SERVICE_CANDIDATES if name in df.columns]

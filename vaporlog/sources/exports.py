@@ -141,23 +141,29 @@ def read_csv(spark: SparkSession, path, mixed_layouts: bool = False, multi_line:
     """
     if header is not None:
         return csv_nulls(_scan_layout(spark, path, _names(header), multi_line, declared=True))
+    frames = read_layouts(spark, path, multi_line, most=None if mixed_layouts else 1)
+    united = frames[0]
+    for frame in frames[1:]:
+        united = united.unionByName(frame, allowMissingColumns=True)
+    return united
+
+
+def read_layouts(spark: SparkSession, path, multi_line: bool = True, most: int | None = None) -> list[DataFrame]:
+    """The files of each layout as a table of its own, as `read_csv` reads them; at most ``most`` layouts."""
     layouts = scan_headers(list_files(spark, path)).filter("header IS NOT NULL").groupBy("header")
     # Spark's reader takes the names of its files from the driver, as any listing does
     layouts = layouts.agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("header").collect()
     if not layouts:
         raise ValueError(f"No CSV files found in {path}")
-    if len(layouts) == 1:
-        return csv_nulls(_scan_layout(spark, path, _names(json.loads(layouts[0]["header"])), multi_line, declared=False))
-    if not mixed_layouts:
+    if most is not None and len(layouts) > most:
         shown = "; ".join(f"{row['paths'][0]}: {row['header']}" for row in layouts[:3])
         raise ValueError(f"Files in {path} have {len(layouts)} different headers: {shown}")
-    frames = [
-        _scan_layout(spark, row["paths"], _names(json.loads(row["header"])), multi_line, declared=False) for row in layouts
+    return [
+        csv_nulls(_scan_layout(
+            spark, path if len(layouts) == 1 else row["paths"], _names(json.loads(row["header"])), multi_line, declared=False
+        ))
+        for row in layouts
     ]
-    united = frames[0]
-    for frame in frames[1:]:
-        united = united.unionByName(frame, allowMissingColumns=True)
-    return csv_nulls(united)
 
 
 def quarantine(raw: DataFrame, default_year: int = S.DEFAULT_YEAR, corrupt_column: str = CORRUPT) -> tuple[DataFrame, DataFrame]:
