@@ -187,3 +187,27 @@ def test_queue(spark):
     assert Q.focus_filter(frame, "all").count() == 3
     reviewed = spark.createDataFrame([(1, "d", "m"), (3, "d", "other")], "seq long, data_id string, model_id string")
     assert sorted(r.seq for r in Q.exclude_reviewed(frame, reviewed, "d", "m").collect()) == [0, 2, 3]
+
+
+def test_override_lookup_spreads_hot_and_blank_keys(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = spark.range(6000).select(
+            F.col("id").alias("seq"), F.lit("A").alias("rule_category"),
+            F.when(F.col("id") % 3 == 0, "hot  key").when(F.col("id") % 3 == 1, F.when(F.col("id") % 2 == 0, " ")).otherwise(F.concat(F.lit("cold "), F.col("id") % 2000)).alias("procedure"),
+        )
+        overrides = spark.createDataFrame([("HOT KEY", "B"), ("COLD 5", "C"), ("COLD 8", "A")], "procedure_key string, override string")
+        found = curate.apply_overrides(rows, overrides)
+        parts = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+        assert len(parts) == 8 and max(r["count"] for r in parts) < 1200
+        got = {r.seq: (r.rule_category, r.overridden, r.corrected, r.procedure_key) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(got) == 6000
+    assert got[0] == got[5997] == ("B", True, True, "HOT KEY")
+    assert got[5] == ("C", True, True, "COLD 5") and got[8] == ("A", True, False, "COLD 8") and got[11][0] == "A"
+    assert got[4][:3] == got[1][:3] == ("A", False, False)

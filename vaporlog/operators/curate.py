@@ -15,6 +15,10 @@ from vaporlog.rules import schema as S
 from vaporlog.rules import training as T
 
 
+#: Keys that hold more than one row in this many are joined apart from the others.
+FREQUENT_KEYS = 1000
+
+
 def normalize_label(label: Column) -> Column:
     """A category label in canonical form; null means the 'other' category."""
     text = strip(label)
@@ -178,10 +182,22 @@ def _keyed(rows: DataFrame, label: str) -> DataFrame:
 def apply_overrides(rows: DataFrame, overrides: DataFrame, label: str = "rule_category") -> DataFrame:
     """Replace labels by their override; adds ``procedure_key``, ``overridden`` and ``corrected``.
 
-    The override table grows with the reviews: Spark broadcasts it only when it measures
-    small, and joins by shuffle otherwise.
+    The override table grows with the reviews: Spark broadcasts it only when it measures small, and joins by
+    shuffle otherwise. Then no key may be a hot spot: keys with more than one row in FREQUENT_KEYS are that many at
+    the most, so their overrides are broadcast; their rows, and those with a blank key, which no override has, go
+    to the shuffle join under keys of their own that match nothing and spread evenly.
     """
-    joined = _keyed(rows, label).join(overrides, "procedure_key", "left")
+    keyed = written_once(_keyed(rows, label))
+    counts = keyed.filter("procedure_key <> ''").groupBy("procedure_key").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.lit(keyed.count())
+    frequent = counts.filter(F.col("_n") * FREQUENT_KEYS > total).join(overrides, "procedure_key", "left")
+    frequent = F.broadcast(frequent.select(F.col("procedure_key").alias("_hot"), F.col("override").alias("_given")))
+    marked = keyed.join(frequent, F.col("procedure_key") == F.col("_hot"), "left")
+    alone = F.col("_hot").isNotNull() | (F.coalesce("procedure_key", F.lit("")) == "")
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(FREQUENT_KEYS)))
+    marked = marked.withColumn("_key", F.when(alone, spread).otherwise(F.col("procedure_key")))
+    known = overrides.select(F.col("procedure_key").alias("_of"), "override")
+    joined = marked.join(known, F.col("_key") == F.col("_of"), "left").withColumn("override", F.coalesce("_given", "override"))
     has = F.col("override").isNotNull()
     return joined.withColumns({
         "overridden": has,

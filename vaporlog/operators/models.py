@@ -92,17 +92,24 @@ def _probabilities(vectors: DataFrame, model, into: str) -> DataFrame:
 
 def score_vectors(vectors: DataFrame, candidates: dict, best: str, labels: list[str]) -> DataFrame:
     """Score feature vectors with one candidate, or with the mean of both."""
-    names = _learners(best)
-    for name in names:
+    for name in _learners(best):
         vectors = _probabilities(vectors, candidates[name], f"_p_{name}")
+    return vote(vectors, best, labels)
+
+
+def vote(rows: DataFrame, best: str, labels: list[str]) -> DataFrame:
+    """From the class probabilities of learners (``_p_`` and their name) to ``ml_probabilities``, ``ml_confidence`` and ``ml_category``.
+
+    The ensemble is the mean of both; of equally likely classes the first is chosen.
+    """
     if best == ENSEMBLE:
         mean = F.zip_with(f"_p_{LOGISTIC}", f"_p_{FOREST}", lambda a, b: (a + b) / 2)
     else:
         mean = F.col(f"_p_{best}")
     classes = F.array(*[F.lit(label) for label in labels])
-    scored = vectors.withColumn("ml_probabilities", mean).withColumn("ml_confidence", F.array_max("ml_probabilities"))
+    scored = rows.withColumn("ml_probabilities", mean).withColumn("ml_confidence", F.array_max("ml_probabilities"))
     position = F.array_position("ml_probabilities", F.col("ml_confidence"))
-    return scored.withColumn("ml_category", F.get(classes, (position - 1).cast("int"))).drop(*[f"_p_{n}" for n in names])
+    return scored.withColumn("ml_category", F.get(classes, (position - 1).cast("int"))).drop(*[f"_p_{n}" for n in _learners(best)])
 
 
 def top_predictions(scored: DataFrame, labels: list[str], k: int = 3) -> DataFrame:

@@ -7,6 +7,7 @@ rewritten, and word boundaries next to letters beyond ASCII are spelled out.
 
 from __future__ import annotations
 
+from vaporlog.operators.features import structured_names
 from vaporlog.rules import anesthesia as A
 from vaporlog.rules import blocks as B
 from vaporlog.rules import procedures as P
@@ -850,3 +851,40 @@ register("a7_json_report", "\nUNION ALL ".join([
              is_low_confidence="case_confidence < 0.7", score="round(case_confidence, 6)", warnings="array_to_string(warnings, ' | ')",
              missing_fields=f"array_to_string({MISSING}, ', ')"),
 ]), "parsed")
+
+# --- text vectors and votes ---------------------------------------------------------
+
+cte("vectored", "SELECT seq, p_text || CASE WHEN s_text <> '' THEN ' SERVICES ' || s_text ELSE '' END AS text FROM featured_2_in", "featured_2_in")
+_STOPS = ", ".join(q(word) for word in M.STOP_WORDS)
+cte("word_tokens", rf"SELECT seq, list_filter(regexp_extract_all(lower(text), '\w\w+'), lambda x: x NOT IN ({_STOPS})) AS w FROM vectored", "vectored")
+_RUNS = "list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n} - 1], ' '))"
+_GRAMS = "list_transform(range(1, length(c) - {n} + 2), lambda i: substr(c, i, {n}))"
+cte("word_all", "SELECT seq, unnest(flatten([" + ", ".join(_RUNS.format(n=n) for n in M.WORD_NGRAMS) + "])) AS term FROM word_tokens", "word_tokens")
+cte("char_all", "SELECT seq, unnest(flatten([" + ", ".join(_GRAMS.format(n=n) for n in M.CHAR_NGRAMS)
+    + r"])) AS term FROM (SELECT seq, lower(regexp_replace(text, '\s\s+', ' ', 'g')) AS c FROM vectored)", "vectored")
+for _kind, _size in (("word", M.WORD_FEATURES), ("char", M.CHAR_FEATURES)):
+    cte(f"{_kind}_counts", f"SELECT seq, term, count(*) AS n FROM {_kind}_all GROUP BY seq, term", f"{_kind}_all")
+    cte(f"{_kind}_vocabulary", f"""SELECT term, row_number() OVER (ORDER BY total DESC, term) AS place,
+        ln(((SELECT count(*) FROM vectored) + 1) / (df + 1)::DOUBLE) + 1 AS weight FROM (SELECT term, sum(n) AS total, count(*) AS df FROM {_kind}_counts
+        GROUP BY term HAVING count(*) >= {M.MIN_DOC_FREQ} ORDER BY total DESC, term LIMIT {_size})""", f"{_kind}_counts", "vectored")
+    cte(f"{_kind}_vectors", f"""SELECT seq, string_agg(CAST(CAST(round(v / norm * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY place) AS shown FROM
+        (SELECT seq, place, n * weight AS v, sqrt(sum(n * weight * n * weight) OVER (PARTITION BY seq)) AS norm
+         FROM {_kind}_counts JOIN {_kind}_vocabulary USING (term)) GROUP BY seq""", f"{_kind}_counts", f"{_kind}_vocabulary")
+_SHOWN = " || ',' || ".join(f"CAST(CAST(round({name} * 1000000) AS BIGINT) AS VARCHAR)" for name in structured_names())
+register("m1_m4_text_vectors", f"""SELECT seq, coalesce(w.shown, '') AS word_vector, coalesce(c.shown, '') AS char_vector, {_SHOWN} AS structured
+    FROM (SELECT seq, {feature_columns(2)} FROM featured_2_8) f LEFT JOIN word_vectors w USING (seq) LEFT JOIN char_vectors c USING (seq)""",
+    "featured_2_8", "word_vectors", "char_vectors")
+
+
+def _given(times: int, plus: int) -> str:
+    raw = [f"((seq * {k + times} + {plus * k}) % 97 + 1)" for k in range(len(P.CATEGORIES))]
+    return "list_transform([" + ", ".join(raw) + f"], lambda x: x::DOUBLE / ({' + '.join(raw)}))"
+
+
+_CLASSES = "[" + ", ".join(q(c) for c in P.CATEGORIES) + "]"
+cte("voted", f"""SELECT seq, list_transform(list_zip({_given(3, 7)}, {_given(5, 11)}), lambda p: (p[1] + p[2]) / 2) AS p FROM predictions""", "predictions")
+cte("ranked_classes", f"""SELECT seq, c, v, row_number() OVER (PARTITION BY seq ORDER BY v DESC, c) AS rank, list_position(p, list_max(p)) AS best, list_max(p) AS most
+    FROM (SELECT seq, p, unnest(p) AS v, unnest({_CLASSES}) AS c FROM voted)""", "voted")
+register("m6_w9_votes_and_top_classes", f"""SELECT seq, ({_CLASSES})[any_value(best)] AS ml_category, round(any_value(most), 6) AS ml_confidence,
+    string_agg(c, ' | ' ORDER BY rank) AS top_classes, string_agg(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS top_probabilities
+    FROM ranked_classes WHERE rank <= 3 GROUP BY seq""", "ranked_classes")

@@ -15,6 +15,7 @@ from vaporlog.operators import review as R
 from vaporlog.operators.annotate import annotate
 from vaporlog.plans import training as plans
 from vaporlog.plans.case_log import parse_pairs
+from vaporlog.rules import procedures as P
 from vaporlog.rules import schema as S
 from vaporlog.sources import columns, exports, sinks
 from verification.views import view
@@ -744,14 +745,36 @@ def m1_m4_text_vectors(spark, sf):
     inputs = features.feature_inputs(view(spark, sf, "training_rows").select("seq", "procedure", "service_text"))
     inputs = features.with_text(features.structured_features(inputs))
     vectors = features.fit_features(inputs).transform(inputs)
-    # Vectors as arrays of their values.
+    # Values in millionths: those of terms that a text has, in the order of the vocabulary, and the structured ones at the vector's end.
+    whole = vector_to_array("features")
+    structured = F.slice(whole, F.size(whole) - len(features.structured_names()) + 1, len(features.structured_names()))
     return vectors.select(
-        "seq", *[F.to_json(F.array_compact(F.transform(vector_to_array(name), nonzero))).alias(name) for name in ("word_vector", "char_vector")]
+        "seq", *[millionths(F.filter(vector_to_array(name), lambda v: v != 0)).alias(name) for name in ("word_vector", "char_vector")],
+        millionths(structured).alias("structured"),
     )
 
 
-def nonzero(value):
-    return F.when(value != 0, F.round(value, 6))
+def millionths(values):
+    return F.array_join(F.transform(values, lambda v: F.round(v * 1_000_000).cast("long").cast("string")), ",")
+
+
+@query
+def m6_w9_votes_and_top_classes(spark, sf):
+    """Soft voting and the three most likely classes, on given probabilities of two learners."""
+    rows = view(spark, sf, "predictions")
+
+    def given(times, plus):
+        raw = [(F.col("seq") * (k + times) + plus * k) % 97 + 1 for k in range(len(P.CATEGORIES))]
+        total = sum(raw[1:], raw[0])
+        return F.array(*[number / total for number in raw])
+
+    named = rows.select("seq", given(3, 7).alias(f"_p_{models.LOGISTIC}"), given(5, 11).alias(f"_p_{models.FOREST}"))
+    voted = models.vote(named, models.ENSEMBLE, list(P.CATEGORIES))
+    top = models.top_predictions(voted, list(P.CATEGORIES))
+    return top.select(
+        "seq", "ml_category", F.round("ml_confidence", 6).alias("ml_confidence"),
+        F.array_join("top_predictions.category", " | ").alias("top_classes"), millionths(F.col("top_predictions.probability")).alias("top_probabilities"),
+    )
 
 
 @query
