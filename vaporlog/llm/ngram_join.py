@@ -30,35 +30,65 @@ PASSAGE = 0.04
 SIZES = 0.0953
 #: Members of a group, about.
 GROUP = 32
-#: Documents looked at for frequent tokens, about. They only come last in the order of tokens; results do not depend on it.
-LOOK = 4000
-#: A token is frequent when this many of them have it.
-FREQUENT = 3
+#: Buckets of each row of the sketch that orders tokens, and buckets that are added up together. Results do not depend on the order.
+BUCKETS = 1 << 21
+STRETCH = 1 << 14
 
 
-def frequent_tokens(texts: DataFrame, length: int, look: int = LOOK) -> np.ndarray:
-    """Tokens that several of a bounded number of documents share, sorted."""
-    size = texts.count()
-    some = texts.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < min(1.0, look / max(1, size)) * 1_000_003)
+def token_levels(texts: DataFrame, length: int) -> np.ndarray:
+    """How common tokens are in all documents, by a sketch of fixed size: two rows of BUCKETS levels.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), length).view("int64"))], names=["token"])
+    Tasks count their documents' tokens in the buckets of both rows, up to a byte, and the counts are added up by stretches
+    of buckets. A level is twice the logarithm of a bucket's count over the mean, from 0 to 15.
+    """
 
-    tokens = some.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "token long")
-    found = tokens.groupBy("token").count().filter(F.col("count") >= FREQUENT).select("token").collect()
-    return np.sort(np.array([row["token"] for row in found], "int64").view("uint64"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, held, size = np.zeros(2 * BUCKETS, "uint32"), [], 0
 
+        def add() -> None:
+            tokens = np.concatenate(held)
+            for at in _places(tokens):
+                np.add(counts, np.bincount(at, minlength=2 * BUCKETS), out=counts, casting="unsafe")
 
-def ordered(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Tokens of a set as numbers whose size is the global order: the frequent ones last, else by hash."""
-    late = np.zeros(len(tokens), "uint64")
-    if len(frequent):
-        at = np.searchsorted(frequent, tokens)
-        at[at == len(frequent)] = 0
-        late = (frequent[at] == tokens).astype("uint64")
-    return np.sort(tokens >> np.uint64(1) | late << np.uint64(63))
+        for batch in batches:
+            for text in batch.column(0):
+                held.append(shingle_set(text.as_py(), length))
+                size += len(held[-1])
+                if size >= 1 << 22:
+                    add()
+                    held, size = [], 0
+        if held:
+            add()
+        small = np.minimum(counts, 255).astype("uint8")
+        for k, part in enumerate(small.reshape(-1, STRETCH)):
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()])], names=["k", "counts"])
+
+    def total(key, parts):
+        added = np.zeros(STRETCH, "int64")
+        for part in parts.column("counts"):
+            added += np.frombuffer(part.as_buffer(), "uint8")
+        return pa.table({"k": parts.column("k").slice(0, 1), "counts": [added.astype("<u4").tobytes()]})
+
+    counted = texts.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "k int, counts binary")
+    found = np.zeros(2 * BUCKETS, "float64")
+    for row in counted.groupBy("k").applyInArrow(total, "k int, counts binary").collect():  # a fixed number of rows
+        found[row["k"] * STRETCH:(row["k"] + 1) * STRETCH] = np.frombuffer(row["counts"], "<u4")
+    mean = max(1.0, found.mean())
+    return np.clip(np.floor(2 * np.log2(np.maximum(found, 1) / mean)), 0, 15).astype("uint8")
+
+
+def _places(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets of tokens in both rows of the sketch."""
+    low = np.uint64(BUCKETS - 1)
+    return (tokens & low).astype("int64"), (tokens >> np.uint64(40) & low).astype("int64") + BUCKETS
+
+
+def ordered(tokens: np.ndarray, levels: np.ndarray) -> np.ndarray:
+    """Tokens of a set as numbers whose size is the global order: common ones last, by level, else by hash."""
+    first, second = _places(tokens)
+    late = np.minimum(levels[first], levels[second]).astype("uint64")
+    return np.sort(tokens >> np.uint64(4) | late << np.uint64(60))
 
 
 def prefix_sizes(n: int, num: int, den: int) -> tuple[int, int]:
@@ -66,9 +96,9 @@ def prefix_sizes(n: int, num: int, den: int) -> tuple[int, int]:
     return n + (-num * n // den) + 1, n + (-2 * num * n // (num + den)) + 1
 
 
-def shingled(texts: DataFrame, length: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
+def shingled(texts: DataFrame, length: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
     """doc_id, n_shingles, fp (digest of the set), prefix (tokens in order) and indexed (how many of them are index tokens)."""
-    held = texts.sparkSession.sparkContext.broadcast(frequent)
+    held = texts.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = held.value
@@ -242,7 +272,7 @@ def similar_components(
     spark = docs.sparkSession
     with_library(spark)
     texts = docs.select(docs[id_column].alias("doc_id"), text_of(docs, text_column).alias("text"))
-    sets = staged(shingled(texts, length, num, den, frequent_tokens(texts, length)), "sets")
+    sets = staged(shingled(texts, length, num, den, token_levels(texts, length)), "sets")
     whole = sets.filter("fp IS NOT NULL AND doc_id IS NOT NULL")
     alike = whole.groupBy("fp").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("indexed").alias("indexed")
