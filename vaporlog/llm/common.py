@@ -18,9 +18,11 @@ SPACES = " \t\n\u000b\f\r"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), a new temporary one is set."""
+    """The folder of spark.checkpoint.dir; where it is unset, local sessions (tests) get a new temporary one, a cluster an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder all executors share")
         folder = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -74,6 +76,18 @@ def text_of(frame: DataFrame, column: str) -> Column:
     return F.coalesce(frame[column].cast("string"), F.lit(""))
 
 
+def apart(frame: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with column names that `docs` does not have, and these names in order: for joins to documents with any columns."""
+    taken, names = {name.lower() for name in docs.columns}, []
+    for name in frame.columns:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        names.append(name)
+    return frame.toDF(*names), names
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

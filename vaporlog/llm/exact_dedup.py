@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import sized, staged, text_of
+from vaporlog.llm.common import apart, sized, staged, text_of
 
 #: A chunk ends at the first line break or sentence end after 256 characters, at the latest after 4096.
 CHUNK = r"(?s).{256,4096}?(?:\n|[.!?]\s|\z)|.{1,4096}"
@@ -63,13 +63,15 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns; of rows repeated with one id and text, one."""
+    """The documents that stay, with all their columns, whatever these are called; of rows repeated with one id and text, one.
+
+    Null texts are equal to empty ones; of rows without an id one stays where no equal text has an id. An empty
+    table stays empty.
+    """
     groups = exact_groups(docs, id_column, text_column).groupBy("doc_id", "text_sha256", "kept")
     groups = staged(groups.agg(F.count(F.lit(1)).alias("rows")), "groups")
-    dropped = groups.filter("NOT kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
-    match = docs[id_column].eqNullSafe(F.col("_id")) & (
-        F.unhex(F.sha2(text_of(docs, text_column), 256)) == F.col("_sha")
-    )
+    dropped, (gone, mark) = apart(groups.filter("NOT kept").select("doc_id", F.unhex("text_sha256").alias("sha")), docs)
+    match = docs[id_column].eqNullSafe(F.col(gone)) & (F.unhex(F.sha2(text_of(docs, text_column), 256)) == F.col(mark))
     stay = docs.join(sized(dropped), match, "left_anti")
     repeated = groups.filter("kept AND rows > 1").limit(1).count() > 0
     return stay.dropDuplicates([id_column, text_column]) if repeated else stay

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import sized, staged, text_of, with_library
+from vaporlog.llm.common import apart, sized, staged, text_of, with_library
 from vaporlog.llm.components import components
 from vaporlog.llm.sets import distinct, overlap, shingle_set
 
@@ -377,10 +377,14 @@ def _with_component(sets: DataFrame, by_set: DataFrame) -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, length: int = 5, num: int = 4, den: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One document of each component, the one with the smallest id, with all its columns."""
+    """One document of each component, the one with the smallest id, with all its columns, whatever these are called.
+
+    Documents without words or without an id stay; rows repeated with one id stay or go together. An empty table
+    stays empty.
+    """
     found = similar_components(docs, length, num, den, id_column, text_column)
-    gone = staged(found.filter("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    return docs.join(sized(gone), docs[id_column] == F.col("_gone"), "left_anti")
+    gone, (name,) = apart(staged(found.filter("component_id <> doc_id").select("doc_id").distinct(), "near"), docs)
+    return docs.join(sized(gone), docs[id_column] == F.col(name), "left_anti")
 
 
 SQL = r"""

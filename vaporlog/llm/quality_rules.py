@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import sized, staged, text_of
+from vaporlog.llm.common import apart, sized, staged, text_of
 
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
 #: A document fails a rule where its condition holds.
@@ -102,12 +102,14 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
 
 
 def keep_good(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    rejected = judge(docs, id_column, text_column, host_column).filter("NOT kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")
-    )
-    rejected = staged(rejected.distinct(), "rejected")
-    match = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(docs, text_column)) == F.col("_hash"))
+    """The documents that are kept, with all their columns, whatever these are called.
+
+    See `judge`: null and empty texts go, repeated rows stay or go together, null ids are rows like others. An
+    empty table stays empty.
+    """
+    rejected = judge(docs, id_column, text_column, host_column).filter("NOT kept").select("doc_id", "text_hash")
+    rejected, (gone, mark) = apart(staged(rejected.distinct(), "rejected"), docs)
+    match = docs[id_column].eqNullSafe(F.col(gone)) & (F.xxhash64(text_of(docs, text_column)) == F.col(mark))
     return docs.join(sized(rejected), match, "left_anti")
 
 

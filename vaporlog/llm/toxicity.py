@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vaporlog.llm.common import sized, staged, text_of, with_library
+from vaporlog.llm.common import apart, sized, staged, text_of, with_library
 from vaporlog.llm.tokens import texts_of
 
 #: Labelled rows that each of the three steps learns from, at the most.
@@ -221,8 +221,9 @@ def score(
     with_library(spark)
     texts = docs.select(docs[id_column].alias("doc_id"), text_of(docs, text_column).alias("text"))
     texts = texts.withColumn("text_hash", F.xxhash64("text"))
+    kind = labels.schema[id_column].dataType.simpleString()
     drawn = samples(labels, bound, id_column, label_column).collect()  # at most about 3 * bound rows
-    sample = F.broadcast(spark.createDataFrame([tuple(r) for r in drawn], "label_id long, label int, step string"))
+    sample = F.broadcast(spark.createDataFrame([tuple(r) for r in drawn], f"label_id {kind}, label int, step string"))
     labelled = texts.join(sample, texts["doc_id"] == F.col("label_id")).select("text", "label", "step")
     learned = learn_terms(labelled.filter("step = 'lexicon'"))
     taught = staged(featurize(labelled.filter("step <> 'lexicon'"), learned), "features").withColumn(
@@ -253,8 +254,12 @@ def score(
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> DataFrame:
-    """The documents not predicted toxic, with all their columns."""
+    """The documents not predicted toxic, with all their columns, whatever these are called.
+
+    See `score`: null and empty texts are scored too, repeated rows stay or go together, null ids are rows like
+    others. An empty table stays empty; labels that teach nothing reject nothing or, all toxic, everything.
+    """
     scored = score(docs, labels, id_column, text_column, label_column).filter("predicted = 1")
-    toxic = staged(scored.select(F.col("doc_id").alias("_toxic_id"), F.col("text_hash").alias("_toxic_hash")), "toxic")
-    match = docs[id_column].eqNullSafe(F.col("_toxic_id")) & (F.xxhash64(text_of(docs, text_column)) == F.col("_toxic_hash"))
+    toxic, (gone, mark) = apart(staged(scored.select("doc_id", "text_hash"), "toxic"), docs)
+    match = docs[id_column].eqNullSafe(F.col(gone)) & (F.xxhash64(text_of(docs, text_column)) == F.col(mark))
     return docs.join(sized(toxic), match, "left_anti")
