@@ -15,7 +15,8 @@ from verification.queries import QUERIES
 FOLDER = "/root/testdata/sf0.001"
 SHORT = (
     "j1_cases_with_technique", "p6_procedure_category", "p14_finding_contexts", "p20_warnings", "w5_review_selection",
-    "w8_seen_unseen_split", "a16_override_summary", "m9_hybrid_decision", "e2_paired_case_log",
+    "w8_seen_unseen_split", "a16_override_summary", "m9_hybrid_decision", "e2_paired_case_log", "a7_json_report",
+    "p24_quarantined_rows", "m6_w9_votes_and_top_classes", "s1_paired_exports",
 )
 NAMES = [n for n in QUERIES if n in ORACLE] if os.environ.get("VAPORLOG_ALL") else SHORT
 
