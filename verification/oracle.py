@@ -888,3 +888,12 @@ cte("ranked_classes", f"""SELECT seq, c, v, row_number() OVER (PARTITION BY seq
 register("m6_w9_votes_and_top_classes", f"""SELECT seq, ({_CLASSES})[any_value(best)] AS ml_category, round(any_value(most), 6) AS ml_confidence,
     string_agg(c, ' | ' ORDER BY rank) AS top_classes, string_agg(CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY rank) AS top_probabilities
     FROM ranked_classes WHERE rank <= 3 GROUP BY seq""", "ranked_classes")
+
+# --- keys of cases without an id ----------------------------------------------------
+
+_FIELDS = ", ".join(
+    f"CASE WHEN {c} IS NOT NULL THEN '\"{c}\":' || to_json({c}) END"
+    for c in sorted((*S.COLUMN_MAP, "seq", "pair_key", "source_file")))
+register("p26_case_keys", f"""SELECT seq, source_file || ':' || coalesce(nullif(episode_id, ''), 'missing-case-id-' ||
+    substr(sha256('{{' || concat_ws(',', {_FIELDS}) || '}}'), 1, 8)) || ':' || substr(coalesce(procedure, ''), 1, 80) AS case_key
+    FROM (SELECT *, pair_key || '.CaseList.csv' AS source_file FROM case_table)""", "case_table")

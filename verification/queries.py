@@ -447,6 +447,13 @@ def p26_review_records(spark, sf):
     return R.records(assessed(spark, sf))
 
 
+@query
+def p26_case_keys(spark, sf):
+    """Keys of all cases; those without an id have a hash of all their columns in it."""
+    cases = case_table(spark, sf).withColumn("source_file", F.concat("pair_key", F.lit(".CaseList.csv")))
+    return R.case_keys(cases).select("seq", "case_key")
+
+
 @query
 def p27_label_normalization(spark, sf):
     labels = view(spark, sf, "review_labels")
