@@ -1,9 +1,10 @@
 """Training, saving, scoring and evaluating on a small table."""
 
+import math
 from types import SimpleNamespace
 
 import pytest
-from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
 from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import shared_folder
@@ -145,3 +146,24 @@ def test_evaluation_finds_its_label_column(spark, tmp_path):
     (tmp_path / "c.csv").write_text("id\n1\n")
     with pytest.raises(ValueError, match="No procedure column"):
         evaluate_files(spark, model, f"{tmp_path}/c.csv")
+
+
+def test_repeated_vectors_are_weighted(spark):
+    """Training grows with different vectors: repeats become weights, none is lost."""
+    rows = spark.range(1000).select(F.when(F.col("id") < 2, "rare").otherwise("common").alias("_truth"), F.when(F.col("id") < 2, F.col("id")).otherwise(2).alias("features"))
+    distinct = models._distinct(rows)
+    assert distinct.count() == 3 and distinct.agg(F.sum("_n")).first()[0] == 1000
+    weighted = models._weighted(distinct)
+    assert weighted.columns == ["_truth", "features", "_weight"]
+    assert weighted.count() == 2 + models.T.REPEATS and weighted.agg(F.sum("_weight")).first()[0] == 1000.0
+    scored = distinct.withColumn("ml_category", F.lit("common"))
+    assert models._accuracy(scored, "_truth") == 0.998
+
+
+def test_weights_of_terms_are_their_smoothed_idf(spark):
+    rows = spark.range(9).select(F.lit("VALVE VALVE").alias("procedure"), F.when(F.col("id") < 4, "ENT").otherwise("").alias("service_text"))
+    inputs = features.with_text(features.structured_features(features.feature_inputs(rows)))
+    stages = features.fit_features(inputs).stages
+    words = next(s for s in stages if isinstance(s, CountVectorizerModel)).vocabulary
+    weights = next(s for s in stages if isinstance(s, ElementwiseProduct)).getScalingVec()
+    assert weights[words.index("valve")] == 1.0 and weights[words.index("ent")] == pytest.approx(1.0 + math.log(10 / 5))

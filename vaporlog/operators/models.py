@@ -131,14 +131,14 @@ def _learners(name: str) -> list[str]:
 def _fit_candidates(vectors: DataFrame, rows: int, config: TrainConfig, best: str = ENSEMBLE) -> dict:
     """The classifiers that candidate ``best`` needs.
 
-    The penalty 1/rows equals a unit penalty on the summed loss. The forest has no
-    smallest size of a split here; two rows per leaf come closest.
+    ``_weight`` says how many of the ``rows`` a vector stands for. The penalty 1/rows equals a unit penalty on the
+    summed loss. The forest has no smallest size of a split here; two rows per leaf come closest.
     """
     logistic = LogisticRegression(
-        labelCol="_label", maxIter=config.max_iter, regParam=1.0 / rows, standardization=False, family="multinomial"
+        labelCol="_label", weightCol="_weight", maxIter=config.max_iter, regParam=1.0 / rows, standardization=False, family="multinomial"
     )
     forest = RandomForestClassifier(
-        labelCol="_label", numTrees=config.trees, maxDepth=config.depth, seed=config.seed,
+        labelCol="_label", weightCol="_weight", numTrees=config.trees, maxDepth=config.depth, seed=config.seed,
         minInstancesPerNode=T.FOREST_MIN_SPLIT // 2, featureSubsetStrategy="sqrt",
     )
     known = {LOGISTIC: logistic, FOREST: forest}
@@ -146,10 +146,29 @@ def _fit_candidates(vectors: DataFrame, rows: int, config: TrainConfig, best: st
 
 
 def _accuracy(scored: DataFrame, label: str) -> float:
-    right = F.avg((F.col("ml_category") == F.col(label)).cast("double"))
+    """Share of right rows; ``_n`` is how many rows one stands for."""
+    right = F.sum(F.when(F.col("ml_category") == F.col(label), F.col("_n")).otherwise(0)) / F.sum("_n")
     return scored.agg(F.coalesce(right, F.lit(0.0)).alias("accuracy")).first()["accuracy"]
 
 
+def _distinct(vectors: DataFrame) -> DataFrame:
+    """Different rows of a table of vectors, written, with how often each occurs (``_n``)."""
+    return written_once(vectors.groupBy(*vectors.columns).agg(F.count(F.lit(1)).alias("_n")))
+
+
+def _weighted(distinct: DataFrame) -> DataFrame:
+    """The rows to fit on: up to REPEATS copies of a row, each alone for a part of its occurrences.
+
+    Texts that differ only outside the vocabulary have equal vectors, so this table grows with the different
+    vectors and not with the rows. No occurrence is lost: weights add up to the rows. The summed loss is the same;
+    the forest draws its samples by copy, and keeps its smallest leaf, which counts copies.
+    """
+    copies = F.least(F.col("_n"), F.lit(T.REPEATS))
+    rows = distinct.withColumn("_weight", F.col("_n") / copies).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), copies)))
+    parts = max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.rdd.getNumPartitions())
+    return written_once(rows.drop("_copy", "_n").repartition(parts))
+
+
 def train(train_rows: DataFrame, validation_rows: DataFrame, label: str, config: TrainConfig | None = None) -> ProcedureModel:
     """Fit features and candidates; keep the one with the best validation accuracy."""
     config = config or TrainConfig()
@@ -163,10 +182,10 @@ def train(train_rows: DataFrame, validation_rows: DataFrame, label: str, config:
     fitted_on = written_once(labeled(train_rows))
     features = fit_features(fitted_on, config.feature_version)
     indexer = StringIndexer(inputCol="_truth", outputCol="_label", stringOrderType="alphabetAsc").fit(fitted_on)
-    vectors = written_once(indexer.transform(features.transform(fitted_on)).select("_label", "_truth", "features"))
-    count = vectors.count()
-    candidates = _fit_candidates(vectors, count, config)
-    checked = written_once(features.transform(labeled(validation_rows)).select("_truth", "features"))
+    distinct = _distinct(indexer.transform(features.transform(fitted_on)).select("_label", "_truth", "features"))
+    count = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    candidates = _fit_candidates(_weighted(distinct), count, config)
+    checked = _distinct(features.transform(labeled(validation_rows)).select("_truth", "features"))
     labels = list(indexer.labels)
     scores = {
         name: _accuracy(score_vectors(checked, candidates, name, labels), "_truth")
@@ -192,7 +211,7 @@ def cross_validate(rows: DataFrame, model: ProcedureModel, label: str, key: str
     vectors = order_hash(model.vectors(truth), key, config.seed).select("_truth", "features", "_hash", F.col(key).alias("_key"))
     dealt = Window.partitionBy("_truth").orderBy("_hash", "_key")
     indexer = StringIndexer(inputCol="_truth", outputCol="_label", stringOrderType="alphabetAsc").fit(vectors)
-    vectors = written_once(indexer.transform(vectors).withColumn("_fold", F.row_number().over(dealt) % folds))
+    vectors = written_once(indexer.transform(vectors).withColumn("_fold", F.row_number().over(dealt) % folds).withColumns({"_n": F.lit(1), "_weight": F.lit(1.0)}))
     accuracies = []
     for fold in range(folds):
         part = vectors.filter(F.col("_fold") != fold)
