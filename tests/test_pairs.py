@@ -245,3 +245,12 @@ def test_filters_reach_the_scan_below_the_annotation(spark, tmp_path):
         scans = plan_of(frame).split("PartitionFilters: ")[1:]
         assert scans and all(scan.startswith("[isnotnull(pair_key") for scan in scans)
     assert [r["Case ID"] for r in result.case_log().collect()] == ["E1"]
+
+
+def test_orphans_are_found_without_sorting_procedures(spark):
+    cases = spark.createDataFrame([("p", "1"), ("p", "1"), ("p", None), ("q", "3")], "pair_key string, MPOG_Case_ID string")
+    procedures = spark.createDataFrame([("p", "1", 1), ("p", None, 2), ("p", "2", 3), ("p", "3", 4), ("q", None, 5)], "pair_key string, MPOG_Case_ID string, _seq int")
+    for found, rows in ((joins.orphan_procedures(cases, procedures), {3, 4, 5}), (joins.matched_procedures(cases, procedures), {1, 2})):
+        assert {r["_seq"] for r in found.collect()} == rows and found.count() == len(rows)
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan

@@ -59,15 +59,24 @@ def join_techniques(cases: DataFrame, procedures: DataFrame, keys=KEYS, seq: str
     return joined.select(*[cases[name] for name in cases.columns], "Airway_Type", "Airway_Details")
 
 
+def _ids(cases: DataFrame, keys) -> DataFrame:
+    """Keys of the cases, to be held in a hash table by task.
+
+    A merge join would sort the procedures with all their texts; well compressed in the exchange, those of a task are
+    many times its memory and go to disk. The keys are few and narrow, and each is kept once.
+    """
+    return cases.select(*keys).hint("shuffle_hash")
+
+
 def orphan_procedures(cases: DataFrame, procedures: DataFrame, keys=KEYS) -> DataFrame:
     """Procedures whose case is not in the case list of the same pair."""
-    ids = cases.select(*keys)
+    ids = _ids(cases, keys)
     return procedures.join(ids, _same(procedures, ids, keys), "left_anti")
 
 
 def matched_procedures(cases: DataFrame, procedures: DataFrame, keys=KEYS) -> DataFrame:
     """Procedures whose case is in the case list of the same pair."""
-    ids = cases.select(*keys)
+    ids = _ids(cases, keys)
     return procedures.join(ids, _same(procedures, ids, keys), "left_semi")
 
 
