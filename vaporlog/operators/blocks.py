@@ -17,12 +17,11 @@ from vaporlog.functions.matching import (
 from vaporlog.functions.text import clean_text, strip
 from vaporlog.rules import blocks as B
 
-NO_TEXTS = "CAST(array() AS ARRAY<STRING>)"
-
 
 def _found_terms(text: Text, sites: dict) -> str:
+    """The terms that are found, joined; empty without any."""
     terms = [f"CASE WHEN {matches_any(text, patterns)} THEN {literal(term)} END" for term, patterns in sites.items()]
-    return f"array_compact(array({', '.join(terms)}))"
+    return f"concat_ws('; ', {', '.join(terms)})"
 
 
 def normalize_blocks(df: DataFrame) -> DataFrame:
@@ -31,10 +30,8 @@ def normalize_blocks(df: DataFrame) -> DataFrame:
     Reads ``raw_nerve_block_type``, ``final_anesthesia_type`` and ``procedure_notes``;
     notes count only when a primary block text exists.
     """
-    primary = clean_text(F.col("raw_nerve_block_type"))
-    technique = clean_text(F.col("final_anesthesia_type"))
-    notes = F.when(primary != "", clean_text(F.col("procedure_notes"))).otherwise(F.lit(""))
-    parts = F.array_compact(F.array(*[F.nullif(part, F.lit("")) for part in (primary, technique, notes)]))
+    notes = F.when(F.col("_primary") != "", clean_text(F.col("procedure_notes"))).otherwise(F.lit(""))
+    parts = [F.nullif(F.col(part), F.lit("")) for part in ("_primary", "_technique", "_notes")]
     text = Text("_site_text", "_site_folded")
 
     def levels(pattern: str, group: int) -> str:
@@ -50,7 +47,12 @@ def normalize_blocks(df: DataFrame) -> DataFrame:
     )
     last_high = B.THORACIC_HIGH_LAST_LEVEL
     staged = (
-        df.withColumns({"_primary": primary, "_site_text": F.array_join(parts, " ")})
+        df.withColumns({
+            "_primary": clean_text(F.col("raw_nerve_block_type")),
+            "_technique": clean_text(F.col("final_anesthesia_type")),
+        })
+        .withColumn("_notes", notes)
+        .withColumn("_site_text", F.concat_ws(" ", *parts))
         .withColumn("_site_folded", F.expr(folded("_site_text")))
         .withColumn("_levels", F.expr(level_numbers))
         .withColumns({
@@ -65,28 +67,26 @@ def normalize_blocks(df: DataFrame) -> DataFrame:
         f"CASE WHEN _high OR (_thoracic AND NOT _low) THEN {literal(B.THORACIC_HIGH)} END, "
         f"CASE WHEN _low OR (_thoracic AND NOT _high) THEN {literal(B.THORACIC_LOW)} END"
     )
-    staged = staged.withColumn("_axial", F.expr(f"concat(_axial, array_compact(array({bands})))"))
-    sites = first_value(
-        ("size(_sites) > 0", "_sites"),
-        (matches_any(text, B.PERIPHERAL_CONTEXT), f"array({literal(B.OTHER_PERIPHERAL)})"),
-        otherwise=NO_TEXTS,
-    )
-    axial = first_value(
-        ("size(_axial) > 0", "_axial"),
-        (matches_any(text, B.LUMBAR_CONTEXT), "array('Lumbar')"),
-        otherwise=NO_TEXTS,
-    )
-    named = staged.withColumn("_terms", F.expr(f"concat({sites}, {axial})")).withColumn(
-        "nerve_block_type",
-        F.expr("CASE WHEN size(_terms) > 0 THEN array_join(_terms, '; ') ELSE nullif(_primary, '') END"),
+    generic = f"_sites = '' AND {matches_any(text, B.PERIPHERAL_CONTEXT)}"
+    lumbar = f"_axial = '' AND {matches_any(text, B.LUMBAR_CONTEXT)}"
+    staged = staged.withColumn("_axial", F.expr(f"concat_ws('; ', nullif(_axial, ''), {bands})")).withColumns({
+        "_generic": F.expr(generic),
+        "_axial": F.expr(first_value((lumbar, "'Lumbar'"), otherwise="_axial")),
+    })
+    sites = first_value(("_generic", literal(B.OTHER_PERIPHERAL)), otherwise="nullif(_sites, '')")
+    named = staged.withColumn("_terms", F.expr(f"concat_ws('; ', {sites}, nullif(_axial, ''))")).withColumn(
+        "nerve_block_type", F.expr("CASE WHEN _terms <> '' THEN _terms ELSE nullif(_primary, '') END")
     )
     normalized = F.filter(F.transform(F.split("nerve_block_type", ";"), strip), lambda t: t != "")
     canonical = [*B.PERIPHERAL_SITES, *B.NEURAXIAL_TERMS]
-    keep_raw = ~F.coalesce(
+    known = F.coalesce(
         (F.size(normalized) > 0) & F.forall(normalized, lambda term: term.isin(*canonical)), F.lit(False)
     )
+    # All terms that can be found are canonical but the generic one; the block text is split only where it stays as it is.
+    keep_raw = F.col("_generic") | ((F.col("_terms") == "") & ~known)
     return named.withColumn("unmatched_block_source", F.when(keep_raw, F.col("raw_nerve_block_type"))).drop(
-        "_primary", "_site_text", "_site_folded", "_levels", "_sites", "_axial", "_high", "_low", "_thoracic", "_terms"
+        "_primary", "_technique", "_notes", "_site_text", "_site_folded", "_levels", "_sites", "_axial", "_high", "_low",
+        "_thoracic", "_generic", "_terms",
     )
 
 
