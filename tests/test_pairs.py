@@ -1,5 +1,7 @@
 """Paired exports: scan, join, orphans, sinks, streaming."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +256,17 @@ def test_orphans_are_found_without_sorting_procedures(spark):
         assert {r["_seq"] for r in found.collect()} == rows and found.count() == len(rows)
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_pair_key_by_plain_cuts(spark):
+    """The key of any path, as a pattern finds it, without a search in every row."""
+    pattern = re.compile(r"([^/=]*?)(?:\.Supervised)?\.CaseList\.csv(?:/[^/]*)?$")
+    heads = ("", "/", "file:/a=b/", "s3://x/A.CaseList.csv/B/", "/d/export=", "=", "/a/b=c=")
+    names = ("DOE_JANE", "A.Supervised", "A.Supervised.Supervised", ".Supervised", "Supervised", "", "Ärzte 1+%", "A.CaseList.csv")
+    tails = (".CaseList.csv", ".CaseList.csv/part-0.csv", ".CaseList.csv/", ".CaseList.csv/b/c", ".ProcedureList.csv", "CaseList.csv", ".CaseList.csv.gz")
+    paths = [head + name + tail for head in heads for name in names for tail in tails] + [None, "", "/"]
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").select("path", exports.pair_key(F.col("path"), "CaseList").alias("key"))
+    for path, key in rows.collect():
+        found = None if path is None else pattern.search(path)
+        assert key == (None if path is None else found.group(1) if found else ""), path
+    assert "regexp" not in rows._jdf.queryExecution().executedPlan().toString().lower()

@@ -26,6 +26,8 @@ from vaporlog.sources.columns import csv_nulls
 #: An export is a file, or a folder of part files, that ends in its list's name.
 CASE_SUFFIX = "CaseList"
 PROCEDURE_SUFFIX = "ProcedureList"
+#: May stand before the list's name and is no part of the pair's.
+SUPERVISED = ".Supervised"
 CORRUPT = "_corrupt_record"
 MALFORMED = "Failed to process row: malformed record"
 
@@ -185,8 +187,20 @@ def quarantine(raw: DataFrame, default_year: int = S.DEFAULT_YEAR, corrupt_colum
 
 
 def pair_key(path: Column, suffix: str) -> Column:
-    """The part of an export's name shared by the two lists of a pair; empty for other files."""
-    return F.regexp_extract(path, rf"([^/=]*?)(?:\.Supervised)?\.{suffix}\.csv(?:/[^/]*)?$", 1)
+    """The part of an export's name shared by the two lists of a pair; empty for other files.
+
+    The export is the last folder or the file itself. Every row of a scan asks for it, so the path is cut by plain
+    functions: a pattern search would start at each of its characters.
+    """
+    ending = f".{suffix}.csv"
+    folder, file = F.substring_index(F.substring_index(path, "/", -2), "/", 1), F.substring_index(path, "/", -1)
+    named = F.when(F.endswith(folder, F.lit(ending)), folder).when(F.endswith(file, F.lit(ending)), file)
+    bare = _without(F.substring_index(named, "=", -1), ending)
+    return F.when(path.isNotNull(), F.coalesce(F.when(F.endswith(bare, F.lit(SUPERVISED)), _without(bare, SUPERVISED)).otherwise(bare), F.lit("")))
+
+
+def _without(text: Column, ending: str) -> Column:
+    return F.left(text, F.length(text) - len(ending))
 
 
 def pair_up(cases: DataFrame, procedures: DataFrame, key: str = "pair_key") -> PairedExports:
