@@ -270,3 +270,18 @@ def test_pair_key_by_plain_cuts(spark):
         found = None if path is None else pattern.search(path)
         assert key == (None if path is None else found.group(1) if found else ""), path
     assert "regexp" not in rows._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_lists_are_not_sorted_by_their_few_pairs(spark):
+    """The keys of pairs are few however long the lists are: no list is shuffled to compare them."""
+    lists = [spark.range(1000000).selectExpr(f"'R' || (id % {n}) AS pair_key", "id AS seq") for n in (40, 41)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        paired = exports.pair_up(*lists)
+        plans = [frame._jdf.queryExecution().executedPlan().toString() for frame in (paired.cases, paired.procedures)]
+        assert all("BroadcastHashJoin" in plan and "SortMergeJoin" not in plan for plan in plans)
+        assert paired.procedures.filter("pair_key = 'R40'").count() == 0 and paired.cases.count() == 1000000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert [tuple(r) for r in paired.unpaired.collect()] == [("R40", "ProcedureList")]

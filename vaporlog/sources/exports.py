@@ -19,6 +19,7 @@ from pyarrow import fs as arrow_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vaporlog.functions.staging import written_once
 from vaporlog.functions.workers import with_library
 from vaporlog.rules import schema as S
 from vaporlog.sources.columns import csv_nulls
@@ -206,11 +207,13 @@ def _without(text: Column, ending: str) -> Column:
 def pair_up(cases: DataFrame, procedures: DataFrame, key: str = "pair_key") -> PairedExports:
     """Keep pairs present in both lists; report the others.
 
-    Only distinct keys are compared. They are aggregated before any shuffle, and the
-    semi joins leave the choice of a broadcast to the measured size.
+    Only distinct keys are compared. They are aggregated before any shuffle and written once, so that the semi joins
+    choose by their real size: an estimate from the whole lists would shuffle and sort all rows by their few pairs.
     """
-    case_keys = cases.select(key).distinct()
-    procedure_keys = procedures.select(key).distinct()
+    return _paired(cases, procedures, written_once(cases.select(key).distinct()), written_once(procedures.select(key).distinct()), key)
+
+
+def _paired(cases: DataFrame, procedures: DataFrame, case_keys: DataFrame, procedure_keys: DataFrame, key: str = "pair_key") -> PairedExports:
     unpaired = (
         case_keys.join(procedure_keys, key, "left_anti").withColumn("found_in", F.lit("CaseList"))
         .unionByName(
@@ -238,7 +241,8 @@ def scan_pairs(
         files = list_files(spark, f"{folder}/*.{suffix}.csv")
         files = files.withColumn("pair_key", pair_key(F.col("path"), suffix))
         listed[suffix] = files if where is None else files.filter(where)
-    paired = pair_up(listed[CASE_SUFFIX], listed[PROCEDURE_SUFFIX])
+    keys = [listed[suffix].select("pair_key").distinct() for suffix in (CASE_SUFFIX, PROCEDURE_SUFFIX)]
+    paired = _paired(listed[CASE_SUFFIX], listed[PROCEDURE_SUFFIX], *keys)
     lists = {}
     for suffix, files in ((CASE_SUFFIX, paired.cases), (PROCEDURE_SUFFIX, paired.procedures)):
         paths = [row["path"] for row in files.select("path").orderBy("path").collect()]
