@@ -3,7 +3,7 @@
 import pytest
 
 from vaporlog.operators.basics import parse_dates
-from vaporlog.functions.matching import required_word
+from vaporlog.functions.matching import FLAGS, guard_words, literal, required_word, searched
 from vaporlog.operators import blocks, project
 from vaporlog.operators.annotate import annotate
 from vaporlog.rules import techniques as T
@@ -219,3 +219,28 @@ def test_unmatched_block_sources(case_frame):
     texts = ["Femoral; ESP", "nerve block", "Unknown", "; ;", "Femoral nerve block T4-6", "", None]
     rows = parsed(case_frame, *[{"nerve_block_type": t, "procedure_notes": "calm"} for t in texts])
     assert [r.unmatched_block_source for r in rows] == [None, "nerve block", "Unknown", "; ;", None, "", None]
+
+
+def test_quick_searches_find_the_same(spark):
+    """A look at the first letters changes no match, also for letters that fold to or from others."""
+    patterns = [p for pack in vars(T).values() if isinstance(pack, tuple) for p in pack]
+    assert searched(r"\b(tube|ett)\s+(placed|inserted)\b").startswith("(?=[te])") and searched(r"\bA-?line\b").startswith("(?=[A])")
+    assert searched(r"a|\bb") == "a|\\bb" and searched(r"\bx?y") == r"\bx?y" and searched(r"\bETT|b") == r"\bETT|b"
+    texts = ["no ETT", "ett", "xETT", "\u017fupraglottic", "\u017fwan ganz", "\u212aing vision", "\u0130J line", "\u0131-gel", "I-GEL", "mac 3", "tube inserted", "A line\nDL"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = " AND ".join(f"regexp_instr(t, {literal(FLAGS + p)}) = regexp_instr(t, {literal(FLAGS + searched(p))})" for p in patterns)
+    assert frame.filter(same).count() == len(texts)
+
+
+def test_guards_hold_for_alternatives():
+    assert guard_words(r"\bintubat(ed|ion|e)?\b") == ["intubat"]
+    assert guard_words(r"\b(tube|ett)\s+(placed|inserted)\b") == ["placed", "inserted"]
+    assert guard_words(r"\b(tube|ett)\s+(placed|inserted)?\b") == ["tube", "ett"]
+    assert guard_words(r"\b(?:t|thoracic)\s*\d") == []
+
+
+def test_scores_and_values_need_no_interpreted_lists(case_frame):
+    """Without contexts, findings are plain expressions that Spark compiles; lists of structs would be interpreted."""
+    cases = annotate(case_frame(FULL))
+    for name in ("confidence_score", "airway_management", "vascular_access", "monitoring"):
+        assert "named_struct" not in cases.select(name)._jdf.queryExecution().optimizedPlan().toString()

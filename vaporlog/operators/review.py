@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vaporlog.functions.matching import contains_any
+from vaporlog.functions.matching import any_of, contains_any, guard_words, literal, searched
 from vaporlog.functions.ranking import top_per_group
 from vaporlog.functions.staging import computed_once, written_once
 from vaporlog.functions.text import sha_fraction
@@ -15,8 +15,12 @@ from vaporlog.rules import procedures as P
 from vaporlog.rules import review as R
 
 
-def _any_pattern(text: Column, patterns) -> Column:
-    return text.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns))
+def _any_pattern(text: str, patterns) -> Column:
+    """True when one of the upper-case patterns occurs in an upper-cased text column."""
+    return F.expr(any_of(
+        f"({contains_any(text, [word.upper() for word in guard_words(p)] or [''])} AND rlike({text}, {literal('(?U)' + searched(p))}))"
+        for p in patterns
+    ))
 
 
 def case_keys(cases: DataFrame, source: str = "source_file") -> DataFrame:
@@ -35,7 +39,6 @@ def assess(cases: DataFrame, source: str = "source_file") -> DataFrame:
         "_text": F.upper(F.concat_ws("\n", *parts)),
         "_warned": F.upper(F.array_join("parsing_warnings", "\n")),
     })
-    text = F.col("_text")
 
     def in_text(words) -> Column:
         return F.expr(contains_any("_text", words))
@@ -48,14 +51,14 @@ def assess(cases: DataFrame, source: str = "source_file") -> DataFrame:
     # (bucket, points, reason, condition); order defines the order of reasons. Fixed values.
     tests = (
         ("double_lumen", 12, "predicted_double_lumen", F.col("has_double_lumen_tube")),
-        ("double_lumen", 10, "explicit_double_lumen_text", _any_pattern(text, R.DOUBLE_LUMEN_TEXT)),
+        ("double_lumen", 10, "explicit_double_lumen_text", _any_pattern("_text", R.DOUBLE_LUMEN_TEXT)),
         ("double_lumen", 6, "thoracic_category", (F.col("procedure_category") == P.INTRATHORACIC) & thoracic),
         ("double_lumen", 4, "thoracic_procedure_hint", thoracic),
         ("tube_route", 12, "predicted_nasal_route", F.col("tube_route") == "Nasal"),
         ("tube_route", 5, "predicted_oral_route", F.col("tube_route") == "Oral"),
         # Every nasal pattern is a whole-word form of a hint, so the hints decide alone.
         ("tube_route", 8, "nasal_route_text", in_text(R.NASAL_HINTS)),
-        ("tube_route", 3, "oral_route_text", _any_pattern(text, R.ORAL_TEXT)),
+        ("tube_route", 3, "oral_route_text", _any_pattern("_text", R.ORAL_TEXT)),
         ("ga_mac", 10, "predicted_mac", ga_mac == "MAC"),
         ("ga_mac", 5, "predicted_ga", ga_mac == "GA"),
         ("ga_mac", 8, "mac_note_text", in_text(A.MAC_NOTES)),
