@@ -1,6 +1,7 @@
 """Training, saving, scoring and evaluating on a small table."""
 
 import math
+import re
 from types import SimpleNamespace
 
 import pytest
@@ -13,6 +14,7 @@ from vaporlog.plans.case_log import build_case_logs, case_log_from_table
 from vaporlog.plans.review_set import build_review_set
 from vaporlog.plans.training import evaluate_files, retrain_pipeline, train_from_files, train_pipeline, training_rows
 from vaporlog.rules import procedures as P
+from vaporlog.rules import training as T
 from vaporlog.sources import columns
 
 QUICK = models.TrainConfig(max_iter=20, trees=3, depth=4)
@@ -167,3 +169,67 @@ def test_weights_of_terms_are_their_smoothed_idf(spark):
     words = next(s for s in stages if isinstance(s, CountVectorizerModel)).vocabulary
     weights = next(s for s in stages if isinstance(s, ElementwiseProduct)).getScalingVec()
     assert weights[words.index("valve")] == 1.0 and weights[words.index("ent")] == pytest.approx(1.0 + math.log(10 / 5))
+
+
+ODD_TEXTS = (
+    "CABG x3 with bypass 48151", "CABG x3 with bypass 62342", "CABG  post 7 bypass\n\n9 graft", "post pre 77 VALVE a1 1a\tb", "12", "", None, "7 valve",
+    "valve-5150/graft", "Straße ὈΔΥΣΣΕΎΣ 99", "ꀀꀀ valve ꀁ 5", "valve \U0001d54f\U0001d54f 31 graft", "x3x33 333 valve3", "  9  8  ",
+)
+
+
+def odd_inputs(spark):
+    """Odd texts, repeated, with a number in half of them that is in no other row."""
+    texts = F.array(*[F.lit(text) for text in ODD_TEXTS])
+    text = F.get(texts, F.pmod("id", F.lit(len(ODD_TEXTS))).cast("int"))
+    rows = spark.range(420).select(
+        F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, text).otherwise(F.concat(text, F.lit(" "), (F.col("id") * 7919 + 100003).cast("string"))).alias("procedure"),
+        F.when(F.col("id") % 5 == 0, "CARDIAC\nTHORACIC").otherwise("").alias("service_text"),
+    )
+    return features.with_text(features.structured_features(features.feature_inputs(rows)))
+
+
+def counted_terms(texts):
+    """Occurrences and rows of all terms, by brute force."""
+    kinds = {"words": ({}, {}), "chars": ({}, {})}
+    for text in texts:
+        words = [w for w in re.findall(r"\w\w+", text) if w not in T.STOP_WORDS]
+        found = {
+            "words": [" ".join(words[i:i + n]) for n in T.WORD_NGRAMS for i in range(len(words) - n + 1)],
+            "chars": [text[i:i + n] for n in T.CHAR_NGRAMS for i in range(len(text) - n + 1)],
+        }
+        for kind, terms in found.items():
+            for count, terms in zip(kinds[kind], (terms, set(terms)), strict=True):
+                for term in terms:
+                    count[term] = count.get(term, 0) + 1
+    return kinds
+
+
+@pytest.mark.parametrize(("rare", "words", "chars"), [(10000, 800, 200), (2, 25, 30), (100, 60, 400)])
+def test_vocabulary_is_that_of_all_terms(spark, monkeypatch, rare, words, chars):
+    """Also where the first guess of what is rare is too high, or a vocabulary has room for rare terms."""
+    monkeypatch.setattr(T, "RARE_WORDS", rare)
+    monkeypatch.setattr(T, "WORD_FEATURES", words)
+    monkeypatch.setattr(T, "CHAR_FEATURES", chars)
+    inputs = odd_inputs(spark)
+    counters = [s for s in features.fit_features(inputs).stages if isinstance(s, CountVectorizerModel)]
+    kinds = counted_terms([row.text for row in inputs.select("text").collect()])
+    for counter, (kind, size) in zip(counters, (("words", words), ("chars", chars)), strict=True):
+        occurrences, rows = kinds[kind]
+        ranked = sorted((t for t in occurrences if rows[t] >= T.MIN_DOC_FREQ), key=lambda t: (-occurrences[t], t.encode()))
+        assert counter.vocabulary == ranked[:size]
+
+
+@pytest.mark.parametrize(("words", "chars", "most"), [(12, 30, 28), (800, 200, 420)])
+def test_different_texts_give_the_vectors_of_all_rows(spark, monkeypatch, words, chars, most):
+    """Numbers outside the vocabulary do not make a text a different one, and no row gets another vector."""
+    monkeypatch.setattr(T, "WORD_FEATURES", words)
+    monkeypatch.setattr(T, "CHAR_FEATURES", chars)
+    inputs = odd_inputs(spark)
+    fitted = features.fit_features(inputs)
+    keyed = features.with_key(fitted, features.packed(inputs.select("seq", "text", *features.structured_names())))
+    found = features.different_vectors(fitted, keyed)
+    assert found.count() <= most and found.agg(F.sum("_n")).first()[0] == 420
+    want = {r.seq: r.features for r in fitted.transform(inputs).select("seq", "features").collect()}
+    for limit in (T.BROADCAST_KEYS, 0):  # also where the keys are too many for a broadcast
+        monkeypatch.setattr(T, "BROADCAST_KEYS", limit)
+        assert {r.seq: r.features for r in features.meet(keyed, found).select("seq", "features").collect()} == want
