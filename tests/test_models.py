@@ -233,3 +233,12 @@ def test_different_texts_give_the_vectors_of_all_rows(spark, monkeypatch, words,
     for limit in (T.BROADCAST_KEYS, 0):  # also where the keys are too many for a broadcast
         monkeypatch.setattr(T, "BROADCAST_KEYS", limit)
         assert {r.seq: r.features for r in features.meet(keyed, found).select("seq", "features").collect()} == want
+
+
+def test_table_scores_are_those_of_its_rows(spark):
+    rows = odd_inputs(spark).select("seq", "procedure", "service_text", F.when(F.col("text").contains("valve"), "one").otherwise("two").alias("label"))
+    model = models.train(rows, rows, "label", QUICK)
+    assert model.metadata["training_samples"] == 420
+    one, all_at_once = model.score(rows), model.score_table(rows)
+    assert one.columns == all_at_once.columns
+    assert {tuple(r)[:1]: r for r in one.collect()} == {tuple(r)[:1]: r for r in all_at_once.collect()}

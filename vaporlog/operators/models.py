@@ -19,7 +19,18 @@ from pyspark.sql import functions as F
 
 from vaporlog.functions.staging import written_once
 from vaporlog.operators.curate import normalize_label, order_hash
-from vaporlog.operators.features import feature_inputs, fit_features, structured_features, with_text
+from vaporlog.operators.features import (
+    KEY,
+    different_vectors,
+    feature_inputs,
+    fit_different,
+    meet,
+    packed,
+    structured_features,
+    structured_names,
+    with_key,
+    with_text,
+)
 from vaporlog.rules import training as T
 
 LOGISTIC, FOREST, ENSEMBLE = "logistic", "forest", "ensemble"
@@ -56,6 +67,18 @@ class ProcedureModel:
         """Add ``ml_category``, ``ml_confidence`` and ``ml_probabilities``."""
         return score_vectors(self.vectors(rows), self.candidates, self.best, self.labels).drop("features")
 
+    def score_table(self, rows: DataFrame) -> DataFrame:
+        """Like ``score``, for a whole table: its inputs are written, and each different vector is scored once."""
+        return self.score_inputs(model_inputs(rows, version=self.feature_version)).drop("top_predictions")
+
+    def score_inputs(self, inputs: DataFrame) -> DataFrame:
+        """Score a table made by ``model_inputs``; also adds ``top_predictions``."""
+        keyed = with_key(self.features, inputs)
+        vectors = different_vectors(self.features, keyed, self.feature_version).select(*KEY, "features")
+        scored = top_predictions(score_vectors(vectors, self.candidates, self.best, self.labels), self.labels)
+        scores = ["ml_probabilities", "ml_confidence", "ml_category", "top_predictions"]
+        return meet(keyed, scored.select(*KEY, *scores)).select("_row.*", *scores)
+
     def save(self, path: str, force: bool = False) -> None:
         """Write the model folder: features, candidates and metadata."""
         stages = {"features": self.features, **self.candidates}
@@ -152,8 +175,9 @@ def _accuracy(scored: DataFrame, label: str) -> float:
 
 
 def _distinct(vectors: DataFrame) -> DataFrame:
-    """Different rows of a table of vectors, written, with how often each occurs (``_n``)."""
-    return written_once(vectors.groupBy(*vectors.columns).agg(F.count(F.lit(1)).alias("_n")))
+    """Different rows of a table of vectors, written, with how often each occurs (``_n``, which may be given for parts)."""
+    many = F.sum("_n") if "_n" in vectors.columns else F.count(F.lit(1))
+    return written_once(vectors.groupBy(*[name for name in vectors.columns if name != "_n"]).agg(many.alias("_n")))
 
 
 def _weighted(distinct: DataFrame) -> DataFrame:
@@ -169,23 +193,43 @@ def _weighted(distinct: DataFrame) -> DataFrame:
     return written_once(rows.drop("_copy", "_n").repartition(parts))
 
 
+def model_inputs(rows: DataFrame, label: str | None = None, version: int = 2, keep: list[str] | None = None) -> DataFrame:
+    """What models need of each row, written: ``text``, structured features and, with a label, ``_truth``.
+
+    ``_row`` holds the columns to ``keep``; without them, all of the rows and the rule result.
+    """
+    truth = [] if label is None else [normalize_label(F.col(label)).alias("_truth")]
+    inputs = with_text(structured_features(feature_inputs(rows.select("*", *truth)), version))
+    if keep is None:
+        keep = [*rows.columns, *_new(rows, inputs)]
+    kept = [F.struct(*keep).alias("_row")] if keep else []
+    names = [*(["_truth"] if truth else []), "text", *structured_names(version)]
+    return written_once(packed(inputs.select(*kept, *names), version))
+
+
 def train(train_rows: DataFrame, validation_rows: DataFrame, label: str, config: TrainConfig | None = None) -> ProcedureModel:
     """Fit features and candidates; keep the one with the best validation accuracy."""
+    version = (config or TrainConfig()).feature_version
+    return train_inputs(*[model_inputs(rows, label, version, []) for rows in (train_rows, validation_rows)], label, config)
+
+
+def train_inputs(train_rows: DataFrame, validation_rows: DataFrame, label: str, config: TrainConfig | None = None) -> ProcedureModel:
+    """`train` on tables made by ``model_inputs`` with the label; the learners work on the different vectors."""
     config = config or TrainConfig()
+    version = config.feature_version
+    columns = ["_truth", "text", *KEY[1:]]
+    features, seen = fit_different(train_rows.select(*columns), version)
 
-    def labeled(rows: DataFrame) -> DataFrame:
-        prepared = rows.withColumn(label, normalize_label(F.col(label)))
-        inputs = feature_inputs(prepared.withColumn("_truth", F.col(label)))
-        return with_text(structured_features(inputs, config.feature_version))
+    def different(inputs: DataFrame) -> DataFrame:
+        vectors = different_vectors(features, with_key(features, inputs), version, "_truth")
+        return _distinct(vectors.select("_truth", "features", "_n"))
 
-    # Feature fitting and both learners pass over the data many times.
-    fitted_on = written_once(labeled(train_rows))
-    features = fit_features(fitted_on, config.feature_version)
-    indexer = StringIndexer(inputCol="_truth", outputCol="_label", stringOrderType="alphabetAsc").fit(fitted_on)
-    distinct = _distinct(indexer.transform(features.transform(fitted_on)).select("_label", "_truth", "features"))
+    distinct = different(seen)
+    indexer = StringIndexer(inputCol="_truth", outputCol="_label", stringOrderType="alphabetAsc").fit(distinct)
+    distinct = indexer.transform(distinct).select("_label", "_truth", "features", "_n")
     count = distinct.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     candidates = _fit_candidates(_weighted(distinct), count, config)
-    checked = _distinct(features.transform(labeled(validation_rows)).select("_truth", "features"))
+    checked = different(validation_rows.select(*columns))
     labels = list(indexer.labels)
     scores = {
         name: _accuracy(score_vectors(checked, candidates, name, labels), "_truth")
@@ -193,7 +237,7 @@ def train(train_rows: DataFrame, validation_rows: DataFrame, label: str, config:
     }
     best = max(scores, key=scores.get)
     metadata = {"training_samples": count, "validation_accuracy": scores, "label_column": label}
-    return ProcedureModel(features, labels, candidates, best, metadata, config.feature_version)
+    return ProcedureModel(features, labels, candidates, best, metadata, version)
 
 
 def cross_validate(rows: DataFrame, model: ProcedureModel, label: str, key: str = "seq", folds: int = T.CV_FOLDS,

@@ -29,7 +29,7 @@ def hybrid_scores(model: models.ProcedureModel, rows: DataFrame, threshold: floa
 
     Scoring computes the rule result as a feature; the decision uses the same columns.
     """
-    return hybrid.fuse(model.score(rows.drop("rule_category", "rule_warnings")), threshold)
+    return hybrid.fuse(model.score_table(rows.drop("rule_category", "rule_warnings")), threshold)
 
 
 def evaluate(model: models.ProcedureModel, rows: DataFrame, label: str | None = None, key: str = "seq",
